@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from memloom.llm import queries_mix
+from memloom.llm import queries_bpe, queries_mix
 
-_MODULES = (queries_mix,)
+_MODULES = (queries_bpe, queries_mix)
 
 
 def queries() -> dict:
