@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from memloom.llm import queries_bpe, queries_mix
+from memloom.llm import queries_bpe, queries_mix, queries_neardup, queries_wordpiece
 
-_MODULES = (queries_bpe, queries_mix)
+_MODULES = (queries_bpe, queries_mix, queries_wordpiece, queries_neardup)
 
 
 def queries() -> dict:
