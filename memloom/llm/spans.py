@@ -11,7 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,end:int,match:string>>"
-NO_SPANS = F.array().cast(SPAN)
+
+
+def no_spans() -> Column:
+    return F.array().cast(SPAN)
 
 
 def find(text: Column, pattern: str, maybe: Column) -> Column:
@@ -27,7 +30,7 @@ def find(text: Column, pattern: str, maybe: Column) -> Column:
     parts = F.filter(
         F.zip_with(matches, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g"))), lambda p: p["m"].isNotNull()
     )
-    start = F.struct(F.lit(0).alias("at"), NO_SPANS.alias("out"))
+    start = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
         begin = acc["at"] + p["g"]
@@ -35,7 +38,7 @@ def find(text: Column, pattern: str, maybe: Column) -> Column:
         span = F.struct(begin.alias("start"), end.alias("end"), p["m"].alias("match"))
         return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
 
-    return F.when(maybe, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(NO_SPANS)
+    return F.when(maybe, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(no_spans())
 
 
 def overlaps(a: Column, b: Column) -> Column:
