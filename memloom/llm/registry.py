@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from memloom.llm import queries_bpe, queries_labels, queries_mix, queries_neardup, queries_pii, queries_secrets, queries_spotsigs, queries_wordpiece
+from memloom.llm import queries_bpe, queries_labels, queries_mix, queries_neardup, queries_pii, queries_secrets, queries_spotsigs, queries_topk, queries_wordpiece
 
-_MODULES = (queries_bpe, queries_mix, queries_wordpiece, queries_neardup, queries_labels, queries_pii, queries_secrets, queries_spotsigs)
+_MODULES = (queries_bpe, queries_mix, queries_wordpiece, queries_neardup, queries_labels, queries_pii, queries_secrets, queries_spotsigs, queries_topk)
 
 
 def queries() -> dict:
