@@ -214,7 +214,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         e = _encoder(spec.value)
         for keys, texts in slices(batches):
             n, ids, decoded = e.encode_texts(texts)
-            flat = pa.array(np.array(" ".join(x for x in ids.to_pylist() if x).split(), np.int32))
+            flat = pc.split_pattern(ids.filter(pa.array(n > 0)), " ").flatten().cast(pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat)
             yield pa.RecordBatch.from_arrays([keys, lists, decoded.cast(pa.string())], [id_col, "ids", "decoded"])
 

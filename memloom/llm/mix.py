@@ -135,7 +135,8 @@ def mixed_documents(docs: DataFrame, seed: str = "mix-1", **options) -> DataFram
     rows = keyed(docs, id_col, text_col, options.get("source_col", "source"), seed, n)
     taken = take(rows, cells, id_col)
     words = F.col("_mix_taken") - (F.col("_mix_epoch") - 1) * F.col("_mix_size")
-    head = F.regexp_extract(
+    head = F.call_function(
+        "regexp_extract",
         F.col(text_col),
         F.concat(F.lit("^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){"), words, F.lit("}+")),
         F.lit(0),

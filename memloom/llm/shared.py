@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,21 +17,36 @@ def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through checkpoint() in the cluster's shared folder.
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder, spark.checkpoint.dir.
 
-    The folder is spark.checkpoint.dir. Where that is unset, as in local tests,
-    a temporary folder serves, but only with a local master, whose tasks all
-    see it; on a cluster the missing setting is an error.
+    Where that is unset, as in local tests, a temporary folder serves, but only
+    with a local master, whose tasks all see it; on a cluster the missing
+    setting is an error.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if found is None:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="memloom-"))
+        found = tempfile.mkdtemp(prefix="memloom-")
+        sc.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage through checkpoint() in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage through a Parquet table of its own in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def is_training(doc_id: str = "doc_id") -> "F.Column":
     """Rows from which labels may be learnt: crc32 of the id as text, mod 3, is not 1."""
     return F.crc32(F.col(doc_id).cast("string")) % 3 != 1
