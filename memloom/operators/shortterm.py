@@ -102,10 +102,10 @@ def summaries(messages: DataFrame) -> DataFrame:
 
 def key_topics(messages: DataFrame, k: int = 5) -> DataFrame:
     """The k most frequent longer words of each conversation; ties by word."""
-    words = F.explode(F.regexp_extract_all(F.lower("content"), F.lit(r"\b[a-zA-Z]{4,}\b"), F.lit(0)))
+    words = F.explode(F.regexp_extract_all(F.lower("content"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
     counted = (
         messages.select("conversation_id", words.alias("word"))
-        .filter(~F.col("word").isin(*TOPIC_STOP_WORDS))
+        .filter(F.col("word").rlike("^[a-z]{4,}$") & ~F.col("word").isin(*TOPIC_STOP_WORDS))
         .groupBy("conversation_id", "word")
         .agg(F.count("*").alias("n"))
     )

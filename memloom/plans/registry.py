@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.plans import shortterm
+from memloom.plans import graph, longterm, provenance, reasoning, shortterm, vectors
 
-_MODULES = (shortterm,)
+_MODULES = (shortterm, longterm, provenance, reasoning, vectors, graph)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -81,8 +81,8 @@ ORACLES = {
        count(*) FILTER (role = 'assistant') AS n_assistant, substring(arg_min(content, id) FILTER (role = 'user'), 1, 200) AS first_user_message,
        (epoch_us(max(ts)) - epoch_us(min(ts))) // 60000000 AS minutes FROM message GROUP BY conversation_id""",
     "ST-19_key_topics": rf"""{M}, stop(word) AS (VALUES {STOP}), w AS (
-         SELECT conversation_id, unnest(regexp_extract_all(lower(content), '\b[a-zA-Z]{{4,}}\b')) AS word FROM message),
-       c AS (SELECT conversation_id, word, count(*) AS n FROM w WHERE word NOT IN (SELECT word FROM stop) GROUP BY 1, 2)
+         SELECT conversation_id, unnest(regexp_extract_all(lower(content), '[\pL\pN_]+')) AS word FROM message),
+       c AS (SELECT conversation_id, word, count(*) AS n FROM w WHERE regexp_full_match(word, '[a-z]{{4,}}') AND word NOT IN (SELECT word FROM stop) GROUP BY 1, 2)
        SELECT conversation_id, word, n FROM c QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY n DESC, word) <= 5""",
     "ST-20_recent_messages": f"""{M} SELECT conversation_id, id, row_number() OVER w::INT AS place FROM message
        WINDOW w AS (PARTITION BY conversation_id ORDER BY ts DESC, id DESC) QUALIFY row_number() OVER w <= 3""".replace("row_number() OVER w::INT", "CAST(row_number() OVER w AS INT)"),
