@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.plans import graph, longterm, provenance, reasoning, shortterm, vectors
+from memloom.plans import graph, longterm, provenance, reasoning, resolution, shortterm, streams, vectors
 
-_MODULES = (shortterm, longterm, provenance, reasoning, vectors, graph)
+_MODULES = (shortterm, longterm, provenance, reasoning, vectors, graph, resolution, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

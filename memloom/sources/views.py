@@ -58,8 +58,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, conversation_id, session_id, user_identifier, turn, role, content, ts."""
-    c = table(spark, sf_dir, "conversations")
-    return c.select(
+    return as_messages(table(spark, sf_dir, "conversations"))
+
+
+def as_messages(conversations: DataFrame) -> DataFrame:
+    return conversations.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
         F.col("conv_id").alias("conversation_id"),
         F.concat(F.lit("s"), F.col("conv_id") % 25).alias("session_id"),
@@ -102,8 +105,12 @@ def relation_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tool calls as steps: id, trace_id, tool_name, ts, duration_ms, status, props."""
+    return as_steps(table(spark, sf_dir, "events"))
+
+
+def as_steps(events: DataFrame) -> DataFrame:
     status = F.when(F.col("event_type") == "error", "error").when(F.col("value") < 1, "timeout").otherwise("success")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("trace_id"), F.col("event_type").alias("tool_name"), "ts",
         F.col("value").alias("duration_ms"), status.alias("status"), "props",
     )
