@@ -20,9 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.llm.shared import cut
+
 CHAIN, REACH = 2, 12
 #: Ids that a block of neighbouring documents spans hold about so many documents.
 BLOCK = 256
+#: A list of at most so many blocks (two numbers each) is broadcast.
+MOST_SENT = 200_000
 # The common words of four languages.
 COMMON = tuple(
     "the of and to in that is was for it with as be on by at this are from or an a he not his but have "
@@ -60,29 +64,35 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(common / (F.size(a) + F.size(b) - common))
 
 
-def with_next(docs: DataFrame, id_col: str, carried: tuple[str, ...]) -> DataFrame:
-    """docs with next_<c> for each c of carried: the row's successor by id; the first row follows the last.
+def with_next(docs: DataFrame, id_col: str, carried: tuple[str, ...], made: dict[str, Column]) -> DataFrame:
+    """docs with the columns `made`, and next_<c> for each c of carried: the row's successor by id; the first row follows the last.
 
     Blocks of neighbouring ids are sorted on their own. Each block also gets a
     copy of the first row of the block after it, found from the ids alone, so
-    every row is shuffled once. Only the list of blocks is sorted in one task.
+    every row is shuffled once; `made` is computed after that shuffle. Only the
+    list of blocks is sorted in one task. Up to MOST_SENT blocks, which their
+    count shows, that list is broadcast; beyond, it is joined by a shuffle.
     """
     known = docs.filter(F.col(id_col).isNotNull())
     tenths = [k / 10 for k in range(11)]
     stats = known.select(id_col).agg(F.count("*").alias("n"), F.percentile_approx(id_col, tenths).alias("p")).first()
     gaps = [b - a for a, b in zip(stats["p"] or [], (stats["p"] or [])[1:]) if b > a]
-    width = max(1, int(min(gaps, default=1) * BLOCK * 10 / max(1, stats["n"])))
+    rows_a_block = max(BLOCK, stats["n"] // (MOST_SENT // 4))
+    width = max(1, int(min(gaps, default=1) * rows_a_block * 10 / max(1, stats["n"])))
     block = F.floor(F.col(id_col) / F.lit(width))
     order = Window.orderBy("_block")
     everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = known.groupBy(block.alias("_block")).agg(F.min(id_col).alias(id_col))
-    firsts = firsts.select(id_col, F.coalesce(F.lag("_block").over(order), F.max("_block").over(everything)).alias("_block"))
+    firsts = cut(firsts.select(id_col, F.coalesce(F.lag("_block").over(order), F.max("_block").over(everything)).alias("_block")))
+    sent = F.broadcast(firsts) if firsts.count() <= MOST_SENT else firsts
     rows = known.withColumns({"_block": block, "_copy": F.lit(0)})
-    copies = known.join(firsts, id_col).withColumn("_copy", F.lit(1)).select(*rows.columns)
-    place = Window.partitionBy("_block").orderBy("_copy", id_col, F.xxhash64(*carried))
+    copies = known.join(sent, id_col).withColumn("_copy", F.lit(1)).select(*rows.columns)
+    dealt = rows.unionAll(copies).repartition(F.col("_block")).withColumns(made)
+    place = Window.partitionBy("_block").orderBy("_copy", id_col, F.xxhash64(*docs.columns))
     nexts = {f"next_{c}": F.lead(c).over(place) for c in carried}
-    placed = rows.unionAll(copies).withColumns(nexts).filter("_copy = 0").drop("_block", "_copy")
-    alone = docs.filter(F.col(id_col).isNull()).withColumns({f"next_{c}": F.lit(None).cast(dict(docs.dtypes)[c]) for c in carried})
+    placed = dealt.withColumns(nexts).filter("_copy = 0").drop("_block", "_copy")
+    alone = docs.filter(F.col(id_col).isNull()).withColumns(made)
+    alone = alone.withColumns({f"next_{c}": F.lit(None).cast(dict(placed.dtypes)[c]) for c in carried})
     return placed.unionAll(alone.select(*placed.columns))
 
 
@@ -96,7 +106,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The edited text's last half is the next text's beginning.
     """
-    rows = with_next(fingerprints(docs, id_col, text_col), id_col, ("text", "signatures"))
+    slim = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = with_next(slim, id_col, ("text", "signatures"), {"signatures": signatures(F.col("text"))})
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     after = F.coalesce(F.substring(F.col("next_text"), F.lit(1), half), F.lit(""))
