@@ -34,8 +34,8 @@ QUERIES = {
     ),
     "ST-16_all_session_messages": lambda s, d: v.messages(s, d).filter("session_id = 's4'").select("id", "role", "ts").orderBy("ts", "id"),
     "ST-17_summary_entities": lambda s, d: v.messages(s, d)
-    .select("conversation_id", F.explode(F.regexp_extract_all("content", F.lit(r"\b[A-Z][a-z]{3,}\b"), F.lit(0))).alias("name"))
-    .filter("conversation_id < 50").groupBy("name").agg(F.count("*").alias("mentions")).orderBy(F.desc("mentions"), "name").limit(10),
+    .select("conversation_id", F.explode(F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("name"))
+    .filter((F.col("conversation_id") < 50) & F.col("name").rlike("^[A-Z][a-z]{3,}$")).groupBy("name").agg(F.count("*").alias("mentions")).orderBy(F.desc("mentions"), "name").limit(10),
     "ST-18_conversation_summary": lambda s, d: st.summaries(v.messages(s, d)),
     "ST-19_key_topics": lambda s, d: st.key_topics(v.messages(s, d)).select("conversation_id", "word", "n"),
     "ST-20_recent_messages": lambda s, d: st.recent(v.messages(s, d), 3).select("conversation_id", "id", "place"),
@@ -75,8 +75,8 @@ ORACLES = {
     "ST-15_messages_without_mentions": f"{M} SELECT id, conversation_id FROM message WHERE NOT regexp_matches(content, '[0-9]')",
     "ST-16_all_session_messages": f"{M} SELECT id, role, ts FROM message WHERE session_id = 's4'",
     "ST-17_summary_entities": rf"""{M} SELECT name, count(*) AS mentions FROM (
-         SELECT unnest(regexp_extract_all(content, '\b[A-Z][a-z]{{3,}}\b')) AS name FROM message WHERE conversation_id < 50)
-       GROUP BY name ORDER BY mentions DESC, name LIMIT 10""",
+         SELECT unnest(regexp_extract_all(content, '[\pL\pN_]+')) AS name FROM message WHERE conversation_id < 50)
+       WHERE regexp_full_match(name, '[A-Z][a-z]{{3,}}') GROUP BY name ORDER BY mentions DESC, name LIMIT 10""",
     "ST-18_conversation_summary": f"""{M} SELECT conversation_id, count(*) AS n_messages, count(*) FILTER (role = 'user') AS n_user,
        count(*) FILTER (role = 'assistant') AS n_assistant, substring(arg_min(content, id) FILTER (role = 'user'), 1, 200) AS first_user_message,
        (epoch_us(max(ts)) - epoch_us(min(ts))) // 60000000 AS minutes FROM message GROUP BY conversation_id""",

@@ -36,11 +36,11 @@ def stored(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     else:
 
         def write(batch: DataFrame, number: int) -> None:
-            batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/_n={number}")
+            batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch-{number}")
 
         run = stream.writeStream.foreachBatch(write)
     run.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(_schema(stream, mode)).parquet(out)
+    return spark.read.schema(_schema(stream, mode)).parquet(out if mode == "append" else f"{out}/batch-*")
 
 
 def _schema(stream: DataFrame, mode: str):
