@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A block of more members than this tells nothing about them; such blocks find no candidates.
 MOST_IN_BLOCK = 60
+#: A decision compares all keys of a block; a block's keys are dealt in shares of about this many.
+SHARE = 1000
 AUTO, REVIEW = 0.90, 0.85
 # Leading articles, legal forms of organisations, titles and suffixes of persons.
 ARTICLES = ("the", "a", "an")
@@ -52,6 +54,13 @@ def exact_matches(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     return mentions.join(known, ["type", "key"]).select(F.col("id").alias("mention"), "entity")
 
 
+def _ends(df: DataFrame, *cols: str) -> DataFrame:
+    """cols, type and block: one row for the first and one for the last word of a key."""
+    words = F.split("key", " ")
+    each = F.explode(F.array_distinct(F.array(F.concat(F.lit("<"), F.element_at(words, 1)), F.concat(F.lit(">"), F.element_at(words, -1)))))
+    return df.select(*cols, "type", each.alias("block"))
+
+
 def block_pairs(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """(mention, entity) that share type and first or last word, from blocks of at most MOST_IN_BLOCK entities.
 
@@ -59,9 +68,7 @@ def block_pairs(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """
 
     def ends(df: DataFrame) -> DataFrame:
-        words = F.split("key", " ")
-        each = F.explode(F.array_distinct(F.array(F.concat(F.lit("<"), F.element_at(words, 1)), F.concat(F.lit(">"), F.element_at(words, -1)))))
-        return df.select("id", "type", each.alias("block"))
+        return _ends(df, "id")
 
     known = ends(entities)
     small = known.groupBy("type", "block").agg(F.count("*").alias("n")).filter(F.col("n") <= MOST_IN_BLOCK).drop("n")
@@ -87,16 +94,42 @@ def band(score: Column, auto: float = AUTO, review: float = REVIEW) -> Column:
     return F.when(score >= auto, "merged").when(score >= review, "review").otherwise("created")
 
 
+def _score(a: Column, b: Column) -> Column:
+    return F.when(a == b, F.lit(1.0)).otherwise(token_similarity(a, b))
+
+
 def decisions(pairs: DataFrame, mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """Of each mention: the best entity, the score and the action; equal keys score 1, ties go to the lesser id."""
     m = mentions.select(F.col("id").alias("mention"), F.col("key").alias("_a"))
     e = entities.select(F.col("id").alias("entity"), F.col("key").alias("_b"))
-    score = F.when(F.col("_a") == F.col("_b"), F.lit(1.0)).otherwise(token_similarity(F.col("_a"), F.col("_b")))
-    scored = pairs.join(m, "mention").join(e, "entity").select("mention", "entity", score.alias("score"))
+    scored = pairs.join(m, "mention").join(e, "entity").select("mention", "entity", _score(F.col("_a"), F.col("_b")).alias("score"))
     best = scored.groupBy("mention").agg(F.max(F.struct("score", (-F.col("entity")).alias("e"))).alias("b"))
-    found = m.select("mention").join(best.select("mention", F.col("b.score").alias("score"), (-F.col("b.e")).alias("entity")), "mention", "left")
-    action = band(F.coalesce("score", F.lit(0.0)))
-    return found.select("mention", F.when(action != "created", F.col("entity")).alias("entity"), F.round("score", 6).alias("score"), action.alias("action"))
+    return _decided(m.select("mention").join(best, "mention", "left"))
+
+
+def _decided(found: DataFrame) -> DataFrame:
+    """The decisions of mentions with their best (score, minus entity), null if there is none."""
+    score = F.col("b.score")
+    action = band(F.coalesce(score, F.lit(0.0)))
+    return found.select("mention", F.when(action != "created", -F.col("b.e")).alias("entity"), F.round(score, 6).alias("score"), action.alias("action"))
+
+
+def resolved(mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """The decisions over all entities that share type and first or last word, whatever the size of their block.
+
+    Scores depend on keys alone, so distinct keys are compared, each with the
+    least id of its entities; a block with many of them is dealt in shares of
+    about SHARE, so no task holds it whole. Equal keys share both words.
+    """
+    known = entities.filter(F.col("key").isNotNull()).groupBy("type", "key").agg(F.min("id").alias("entity"))
+    blocks = _ends(known, "key", "entity")
+    sizes = blocks.groupBy("type", "block").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    dealt = blocks.join(sizes, ["type", "block"]).select("type", "block", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int").alias("share"), F.col("key").alias("_b"), "entity")
+    asked = _ends(mentions.select("type", "key").distinct(), "key").join(sizes, ["type", "block"])
+    asked = asked.select("type", "block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("key").alias("_a"))
+    scored = asked.join(dealt, ["type", "block", "share"]).select("type", F.col("_a").alias("key"), "entity", _score(F.col("_a"), F.col("_b")).alias("score"))
+    best = scored.groupBy("type", "key").agg(F.max(F.struct("score", (-F.col("entity")).alias("e"))).alias("b"))
+    return _decided(mentions.select(F.col("id").alias("mention"), "type", "key").join(best, ["type", "key"], "left"))
 
 
 def gazetteer(aliases: DataFrame) -> DataFrame:

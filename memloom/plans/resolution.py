@@ -42,7 +42,7 @@ QUERIES = {
     "RS-01_name_entropy": lambda s, d: v.table(s, d, "nation").select("n_nationkey", F.round(rs.entropy(F.lower("n_name")), 6).alias("bits"), rs.initials(F.lower("n_name")).alias("initials")),
     "RS-02_exact_blocking": lambda s, d: rs.exact_matches(_mentions(s, d), _parts(s, d)),
     "RS-03_end_word_blocking": lambda s, d: rs.block_pairs(_mentions(s, d), _parts(s, d)),
-    "RS-09_decisions": lambda s, d: rs.decisions(rs.block_pairs(_mentions(s, d), _parts(s, d)), _mentions(s, d), _parts(s, d)).select("mention", "score", "action"),
+    "RS-09_decisions": lambda s, d: rs.resolved(_mentions(s, d), _parts(s, d)).select("mention", "score", "action"),
     "RS-11_gazetteer": lambda s, d: rs.gazetteer(v.table(s, d, "part").select(F.lower("p_name").alias("key"), F.col("p_brand").alias("canonical"))),
     "MT-01_entity_scores": lambda s, d: rs.matched(_items(s, d, "l_partkey"), _items(s, d, "l_suppkey"), ["type", "item"]),
     "MT-04_b_cubed": lambda s, d: rs.b_cubed(_clusters(s, d)).select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]),
