@@ -34,8 +34,8 @@ QUERIES = {
     ),
     "ST-16_all_session_messages": lambda s, d: v.messages(s, d).filter("session_id = 's4'").select("id", "role", "ts").orderBy("ts", "id"),
     "ST-17_summary_entities": lambda s, d: v.messages(s, d)
-    .select("conversation_id", F.explode(F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("name"))
-    .filter((F.col("conversation_id") < 50) & F.col("name").rlike("^[A-Z][a-z]{3,}$")).groupBy("name").agg(F.count("*").alias("mentions")).orderBy(F.desc("mentions"), "name").limit(10),
+    .select(F.explode(F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("name"))
+    .filter(F.col("name").rlike("^[A-Z][a-z]{3,}$")).groupBy("name").agg(F.count("*").alias("mentions")).orderBy(F.desc("mentions"), "name").limit(10),
     "ST-18_conversation_summary": lambda s, d: st.summaries(v.messages(s, d)),
     "ST-19_key_topics": lambda s, d: st.key_topics(v.messages(s, d)).select("conversation_id", "word", "n"),
     "ST-20_recent_messages": lambda s, d: st.recent(v.messages(s, d), 3).select("conversation_id", "id", "place"),

@@ -33,7 +33,7 @@ def _hits(s, d):
 
 def _tool_messages(s, d):
     """Every fourth event asks for two calls; odd events answer the call of their own number."""
-    e = v.table(s, d, "events").filter("event_id < 5000")
+    e = v.table(s, d, "events")
     calls = F.when(F.col("event_id") % 4 == 0, F.array(F.col("event_id") + 1, F.col("event_id") + 2 + F.col("event_id") % 3)).otherwise(F.array().cast("array<long>"))
     role = F.when(F.col("event_id") % 4 == 0, "assistant").when(F.col("event_id") % 2 == 1, "tool").otherwise("user")
     return e.select(F.col("event_id").alias("id"), role.alias("role"), calls.alias("call_ids"), F.when(F.col("event_id") % 2 == 1, F.col("event_id")).alias("call_id"))

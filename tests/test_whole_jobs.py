@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
-from pyspark.sql import functions as F
+import duckdb
 
 from memloom.operators import resolution as rs
+from memloom.plans import registry
+
+SF = "/root/testdata/sf0.01"
 
 
 def test_decisions_keep_large_blocks(spark, monkeypatch):
@@ -31,3 +36,24 @@ def test_decisions_keep_large_blocks(spark, monkeypatch):
     assert len(got) == len(mentions)
     assert {r["mention"]: (r["entity"], r["score"], r["action"]) for r in got} == want
     assert sum(x[2] == "merged" for x in want.values()) >= 200
+
+
+def table(name):
+    return duckdb.sql(f"SELECT * FROM read_parquet('{SF}/{name}.parquet')")
+
+
+def test_whole_tool_calls_cover_all_events(spark):
+    ids = {r[0] for r in table("events").select("event_id").fetchall()}
+    role = {i: "assistant" if i % 4 == 0 else "tool" if i % 2 else "user" for i in ids}
+    calls = {i: (i + 1, i + 2 + i % 3) for i in ids if role[i] == "assistant"}
+    whole = {i for i, c in calls.items() if all(role.get(x) == "tool" for x in c)}
+    answered = {x for i in whole for x in calls[i]}
+    want = {(i, r) for i, r in role.items() if r == "user" or i in whole or (r == "tool" and i in answered)}
+    got = [tuple(r) for r in registry.queries()["VEC-10_whole_tool_calls"](spark, SF).collect()]
+    assert sorted(got) == sorted(want) and max(got)[0] > 9000
+
+
+def test_summary_entities_cover_all_messages(spark):
+    words = Counter(w for (text,) in table("conversations").select("text").fetchall() for w in re.findall(r"\w+", text or "") if re.fullmatch("[A-Z][a-z]{3,}", w))
+    got = [tuple(r) for r in registry.queries()["ST-17_summary_entities"](spark, SF).collect()]
+    assert got == sorted(words.items(), key=lambda x: (-x[1], x[0]))[:10]
