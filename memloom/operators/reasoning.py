@@ -32,10 +32,10 @@ def traces(steps: DataFrame) -> DataFrame:
     )
 
 
-def with_steps(steps: DataFrame, most: int = 1000) -> DataFrame:
-    """By trace: its first `most` steps in order, as an array of structs. The bound keeps a row's size in hand."""
-    first = numbered(steps).filter(F.col("step_number") <= most)
-    return first.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("step_number", "tool_name", "status"))).alias("steps"))
+def with_steps(steps: DataFrame, page: int = 1000) -> DataFrame:
+    """By trace and page, from 0: all its steps in order, `page` of them in an array of structs, so that a row stays small."""
+    paged = numbered(steps).withColumn("page", F.floor((F.col("step_number") - 1) / page))
+    return paged.groupBy("trace_id", "page").agg(F.array_sort(F.collect_list(F.struct("step_number", "tool_name", "status"))).alias("steps"))
 
 
 def completed(events: DataFrame) -> DataFrame:

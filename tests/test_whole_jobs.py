@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 
+from memloom.operators import reasoning
 from memloom.operators import resolution as rs
 from memloom.plans import registry
 
@@ -57,3 +58,13 @@ def test_summary_entities_cover_all_messages(spark):
     words = Counter(w for (text,) in table("conversations").select("text").fetchall() for w in re.findall(r"\w+", text or "") if re.fullmatch("[A-Z][a-z]{3,}", w))
     got = [tuple(r) for r in registry.queries()["ST-17_summary_entities"](spark, SF).collect()]
     assert got == sorted(words.items(), key=lambda x: (-x[1], x[0]))[:10]
+
+
+def test_traces_keep_all_steps(spark):
+    steps = spark.range(2503).selectExpr(
+        "id", "id div 2500 AS trace_id", "if(id % 7 = 0, 'a', 'b') AS tool_name", "timestamp_seconds(1000000 + 5 * id) AS ts", "if(id % 3 = 0, 'error', 'success') AS status"
+    )
+    got = sorted(reasoning.with_steps(steps).collect(), key=lambda r: (r["trace_id"], r["page"]))
+    assert [(r["trace_id"], r["page"], len(r["steps"])) for r in got] == [(0, 0, 1000), (0, 1, 1000), (0, 2, 500), (1, 0, 3)]
+    flat = [(x["step_number"], x["tool_name"], x["status"]) for r in got for x in r["steps"]]
+    assert flat == [(i % 2500 + 1, "b" if i % 7 else "a", "success" if i % 3 else "error") for i in range(2503)]
