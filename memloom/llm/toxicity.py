@@ -42,6 +42,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
     total = np.zeros(len(data), np.uint64)
     for n in range(1, max(LENGTHS) + 1):
+        if n > len(data):  # no text of the run is as long
+            if n in LENGTHS:
+                yield np.full(len(data), -1, np.int32)
+            continue
         total = total * np.uint64(257)
         total[: len(data) - n + 1] += low[n - 1 :] + np.uint64(1)
         if n in LENGTHS:

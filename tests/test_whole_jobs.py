@@ -5,9 +5,14 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from functools import reduce
 
 import duckdb
+import pytest
+from pyspark.sql import DataFrame
 
+from memloom.llm.quality import score_quality
+from memloom.llm.toxicity import score_toxicity
 from memloom.operators import reasoning
 from memloom.operators import resolution as rs
 from memloom.plans import registry
@@ -68,3 +73,18 @@ def test_traces_keep_all_steps(spark):
     assert [(r["trace_id"], r["page"], len(r["steps"])) for r in got] == [(0, 0, 1000), (0, 1, 1000), (0, 2, 500), (1, 0, 3)]
     flat = [(x["step_number"], x["tool_name"], x["status"]) for r in got for x in r["steps"]]
     assert flat == [(i % 2500 + 1, "b" if i % 7 else "a", "success" if i % 3 else "error") for i in range(2503)]
+
+
+@pytest.mark.parametrize("score,label", [(score_toxicity, "toxic"), (score_quality, "quality")])
+def test_a_run_of_few_bytes_is_scored(spark, score, label):
+    """Each text of 0 to 6 bytes is a partition, and so a run, of its own; then one is the whole table."""
+    schema = f"doc_id long, text string, {label} int"
+    long = [(i, f"{'bad words of anger' if i % 2 else 'kind words of praise'} number {i}", i % 2) for i in range(60)]
+    short = [(1000 + n, "aé" if n == 3 else "x" * n, 0) for n in range(7)]
+    parts = [spark.createDataFrame(rows, schema).coalesce(1) for rows in (long, *([r] for r in short))]
+    every = reduce(DataFrame.unionAll, parts)
+    got = {r["doc_id"]: r["score"] for r in score(every.select("doc_id", "text"), every.select("doc_id", label)).collect()}
+    assert set(got) == {r[0] for r in long + short} and all(0 <= x <= 1 for x in got.values())
+    assert len({x for k, x in got.items() if k < 1000}) > 1
+    alone = spark.createDataFrame([(1000, "xy", 0)], schema).coalesce(1)
+    assert len(score(alone.select("doc_id", "text"), alone.select("doc_id", label)).collect()) == 1
