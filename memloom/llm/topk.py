@@ -9,9 +9,9 @@ until they hold k other vectors; the k-th distance found is a bound. By the
 triangle inequality an annulus [lo, hi] of pivot p holds nothing nearer than
 max(d(q, p) - hi, lo - d(q, p), 0); the search stops at annuli beyond the bound.
 
-Components are integers (floor(256 * x)), scores are exact integer inner
-products, and bounds are loosened by more than their rounding, so the result is
-exact. The pivots and the annuli's bounds (PIVOTS * RINGS numbers) are of fixed
+Components are integers (floor(256 * x)) of any size, scores are exact integer
+inner products, and bounds are loosened by more than their rounding, so the
+result is exact. Distances are in units of the largest norm. The pivots and the annuli's bounds (PIVOTS * RINGS numbers) are of fixed
 size; vectors are packed in blocks of BLOCK rows, and queries in groups, so a
 large annulus is many blocks and no task holds it whole.
 
@@ -19,7 +19,8 @@ Defined cases. Vectors that are null, or hold a null or a component that is not
 finite, take no part; neither do rows with a null id, nor vectors of another
 length than the most common one. Rows that repeat an id are separate
 candidates; a query is never matched with rows of its own id. Ties go to the
-smaller id. With fewer than k candidates all are returned.
+smaller id. With fewer than k candidates all are returned. A score that does not
+fit 64 bits is an error, and so is a component beyond the doubles when scaled.
 """
 
 from __future__ import annotations
@@ -35,26 +36,59 @@ from memloom.llm.shared import cut
 
 PIVOTS, RINGS, BLOCK, QUERIES = 32, 16, 1024, 256
 SCALE = 256
-#: Components after scaling must fit, so that scores are exact in 64 bits.
-MOST = 1 << 20
+#: Components up to this are multiplied apart from larger ones, which are slower.
+USUAL = 1 << 20
+#: No score: below all that count.
+NONE = -(1 << 63)
 #: Distances are computed in double precision; bounds are loosened by this.
 SLACK = 1e-6
 
 
 def scaled(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id and v, the components as integers, of the rows that take part."""
+    """vec_id and v, the components as whole numbers in doubles, of the rows that take part."""
     v = F.col(vector_col)
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(
-        v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * SCALE < MOST)
+        v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
     )
     whole = vectors.filter(sound & F.col(id_col).isNotNull())
-    return whole.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("int")).alias("v"))
 
+    def whole_number(x: Column) -> Column:
+        y = x.cast("double") * SCALE
+        large = F.when(F.abs(y) < float("inf"), y).otherwise(F.raise_error(F.lit("a scaled component is beyond the doubles")).cast("double"))
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(large)  # doubles from 2**53 on are whole
 
-def _lifted(x: np.ndarray, most: float) -> np.ndarray:
-    """Rows of integers with the component that makes all norms equal."""
-    x = x.astype(np.float64)
-    rest = np.maximum(most - (x * x).sum(1), 0.0)
+    return whole.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, whole_number).alias("v"))
+
+
+def products(q: np.ndarray, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of whole numbers, NONE where own; an error if another does not fit 64 bits."""
+    q_most, x_most = np.abs(q).max(1, initial=0), np.abs(x).max(1, initial=0)
+    out = np.empty((len(q), len(x)), np.int64)
+    for i in (np.flatnonzero(q_most < USUAL), np.flatnonzero(q_most >= USUAL)):
+        for j in (np.flatnonzero(x_most < USUAL), np.flatnonzero(x_most >= USUAL)):
+            if not len(i) or not len(j):
+                continue
+            most = q.shape[1] * int(q_most[i].max()) * int(x_most[j].max())
+            a, b = q[i], x[j].T
+            if most < 1 << 53:  # all sums are exact in doubles
+                s = (a.astype(np.float64) @ b.astype(np.float64)).astype(np.int64)
+            elif most < 1 << 62:
+                s = a.astype(np.int64) @ b.astype(np.int64)
+            else:
+                whole = np.frompyfunc(int, 1, 1)
+                s = whole(a) @ whole(b)
+                s[own[np.ix_(i, j)]] = 0
+                if s.min() <= NONE or s.max() > -(NONE + 1):
+                    raise OverflowError("a score does not fit 64 bits")
+            out[np.ix_(i, j)] = s.astype(np.int64)
+    out[own] = NONE
+    return out
+
+
+def _lifted(x: np.ndarray, unit: float) -> np.ndarray:
+    """Rows of whole numbers over the largest norm, with the component that makes all norms 1."""
+    x = x.astype(np.float64) / unit
+    rest = np.maximum(1.0 - (x * x).sum(1), 0.0)
     return np.concatenate([x, np.sqrt(rest)[:, None]], axis=1)
 
 
@@ -67,22 +101,30 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     """query_id, rank, vec_id and score of the k highest inner products of each query with the other rows."""
     spark = vectors.sparkSession
     every = scaled(vectors, id_col, vector_col)
-    sizes = every.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x.cast("long"))).alias("norm"))
+    top = F.array_max(F.transform("v", F.abs))
+    # The norm by its largest component, so that no square is beyond the doubles.
+    norm = F.when(top > 0, top * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / top) * (x / top)))).otherwise(0.0)
+    sizes = every.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.max(norm).alias("norm"), F.max(top).alias("top"))
     common = sizes.orderBy(F.desc("rows"), "n").first()
     result = "query_id long, rank int, vec_id long, score long"
     if common is None:
         return spark.createDataFrame([], result)
-    width, most = common["n"], float(common["norm"])
+    width, unit = common["n"], float(common["norm"]) or 1.0
     every = every.filter(F.size("v") == width)
+    small = common["top"] < 1 << 31
+    number = np.int32 if small else np.float64
+    if small:
+        every = every.withColumn("v", F.col("v").cast("array<int>"))
+    slack = 8 * np.sqrt(np.finfo(float).eps * (width + 8))  # the rounding of squares of distances between norms of 1
     first = every.orderBy(F.xxhash64("v"), "vec_id").limit(PIVOTS * 4).collect()  # a fixed number of vectors
-    pivots = _lifted(np.unique(np.array([r["v"] for r in first], np.int64), axis=0)[:PIVOTS], most)
+    pivots = _lifted(np.unique(np.array([r["v"] for r in first], np.float64), axis=0)[:PIVOTS], unit)
     sent = spark.sparkContext.broadcast(pivots)
 
     def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x = np.array(b["v"].tolist(), np.int32)
-                d = _distances(_lifted(x, most), sent.value)
+                x = np.array(b["v"].tolist(), number)
+                d = _distances(_lifted(x, unit), sent.value)
                 near = d.argmin(1)
                 yield pd.DataFrame({"vec_id": b["vec_id"], "pivot": near, "dist": d[np.arange(len(b)), near], "v": [r.tobytes() for r in x]})
 
@@ -121,16 +163,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
 
     def lower(x: np.ndarray) -> np.ndarray:
         """Of each query and annulus: the least possible distance."""
-        lifted = np.concatenate([x.astype(np.float64), np.zeros((len(x), 1))], axis=1)
+        lifted = np.concatenate([x.astype(np.float64) / unit, np.zeros((len(x), 1))], axis=1)
         d = _distances(lifted, sent.value)[:, bounds.value[:, 0].astype(int) // (RINGS + 1)]
-        return np.maximum(np.maximum(d - bounds.value[:, 3], bounds.value[:, 2] - d), 0) - SLACK * (1 + d)
+        return np.maximum(np.maximum(d - bounds.value[:, 3], bounds.value[:, 2] - d), 0) - SLACK * (1 + d) - slack
 
     def grouped(batches: Iterator[pd.DataFrame], pick) -> Iterator[pd.DataFrame]:
         """(cell, the queries to search it, packed in groups of QUERIES)."""
         for b in batches:
             if not len(b):
                 continue
-            x = np.array([np.frombuffer(v, np.int32) for v in b["v"]])
+            x = np.array([np.frombuffer(v, number) for v in b["v"]])
             wanted = pick(b, x, lower(x))
             for c in np.flatnonzero(wanted.any(0)):
                 at = np.flatnonzero(wanted[:, c])
@@ -138,7 +180,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
                     some = at[a : a + QUERIES]
                     yield pd.DataFrame(
                         {"cell": [int(bounds.value[c, 0])], "qids": [b["vec_id"].to_numpy(np.int64)[some].tobytes()], "qs": [x[some].tobytes()],
-                         "least": [(b["least"].to_numpy(np.int64)[some] if "least" in b else np.full(len(some), -(1 << 62))).tobytes()]}
+                         "least": [(b["least"].to_numpy(np.int64)[some] if "least" in b else np.full(len(some), NONE)).tobytes()]}
                     )
 
     def nearest(b: pd.DataFrame, x: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -152,9 +194,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
 
     def within(b: pd.DataFrame, x: np.ndarray, low: np.ndarray) -> np.ndarray:
         """The annuli that may hold a row as near as the k-th found; the first ones are done."""
-        norm = (x.astype(np.int64) ** 2).sum(1)
+        norm = ((x.astype(np.float64) / unit) ** 2).sum(1)
         least = b["least"].to_numpy(np.int64)
-        reach = np.where(least == -(1 << 62), np.inf, np.sqrt(np.maximum(norm + most - 2.0 * least, 0)))
+        reach = np.where(least == NONE, np.inf, np.sqrt(np.maximum(norm + 1.0 - 2.0 * (least / unit / unit), 0)))
         return (low <= reach[:, None] * (1 + SLACK) + SLACK) & ~nearest(b, x, low)
 
     def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,13 +204,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
         for b in batches:
             for r in b.itertuples():
                 ids, qids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.qids, np.int64)
-                x = np.frombuffer(r.vs, np.int32).reshape(len(ids), -1).astype(np.float64)
-                q = np.frombuffer(r.qs, np.int32).reshape(len(qids), -1).astype(np.float64)
-                s = (q @ x.T).astype(np.int64)  # exact: sums below 2**53 for components below 2**20 and 4096 of them
-                s[qids[:, None] == ids[None, :]] = -(1 << 62)
+                x = np.frombuffer(r.vs, number).reshape(len(ids), -1)
+                q = np.frombuffer(r.qs, number).reshape(len(qids), -1)
+                s = products(q, x, qids[:, None] == ids[None, :])
                 keep = min(k, len(ids))
                 worst = np.partition(s, len(ids) - keep, axis=1)[:, len(ids) - keep]
-                row, col = np.nonzero((s >= np.maximum(worst, np.frombuffer(r.least, np.int64))[:, None]) & (s > -(1 << 62)))
+                row, col = np.nonzero((s >= np.maximum(worst, np.frombuffer(r.least, np.int64))[:, None]) & (s > NONE))
                 found = pd.DataFrame({"query_id": qids[row], "vec_id": ids[col], "score": s[row, col]})
                 # ties at the block's k-th score beyond k rows: smaller ids first
                 found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
@@ -183,7 +224,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     start = cut(best(one.join(blocks, "cell").mapInPandas(scores, out)))
     kth = start.groupBy("query_id").agg(F.min("score").alias("s"), F.count("*").alias("n"))
     least = asked.join(kth.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select(
-        "vec_id", "v", F.when(F.col("n") >= k, F.col("s")).otherwise(F.lit(-(1 << 62)).cast("long")).alias("least")
+        "vec_id", "v", F.when(F.col("n") >= k, F.col("s")).otherwise(F.lit(NONE).cast("long")).alias("least")
     )
     two = least.mapInPandas(lambda it: grouped(it, within), kind)
     rest = two.join(blocks, "cell").mapInPandas(scores, out)
