@@ -45,7 +45,7 @@ def completed(events: DataFrame) -> DataFrame:
 
 
 def touched(steps: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges step_id, entity_id; new entities id, name): steps' names joined to entities, stubs for those unknown.
+    """(edges step_id, entity_id, name; new entities id, name): steps' names joined to entities, stubs for those unknown.
 
     A stub's id is a hash of its name, so reruns agree.
     """
@@ -53,4 +53,4 @@ def touched(steps: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame
     known = entities.select("name", F.col("id").alias("entity_id")).groupBy("name").agg(F.min("entity_id").alias("entity_id"))
     both = named.join(known, "name", "left")
     stubs = both.filter("entity_id is null").select("name").distinct().select(F.xxhash64("name").alias("id"), "name")
-    return both.select("step_id", F.coalesce("entity_id", F.xxhash64("name")).alias("entity_id")), stubs
+    return both.select("step_id", F.coalesce("entity_id", F.xxhash64("name")).alias("entity_id"), "name"), stubs

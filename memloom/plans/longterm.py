@@ -76,6 +76,7 @@ QUERIES = {
         _named_relations(s, d), _mentions(s, d), lt.fold_entities(v.entity_observations(s, d))
     ).select("message_id", "source_id", "type", "target_id"),
     "LT-19_neighbours": lambda s, d: lt.neighbours(v.edges(s, d), v.edges(s, d).filter("src % 1000 < 40").select(F.col("src").alias("id"))),
+    "LT-19_all_neighbours": lambda s, d: lt.neighbours(v.edges(s, d), v.edges(s, d).select(F.explode(F.array("src", "dst")).alias("id"))),
     "LT-20_first_link": lambda s, d: lt.first_links(v.relation_observations(s, d), ["source", "evidence"], "seq").select("source", "evidence", "seq"),
     "LT-24_add_aliases": lambda s, d: lt.add_aliases(
         v.entity_observations(s, d).filter("type = 'LOCATION'").select(F.col("seq").alias("id"), F.array("name").alias("aliases")),
@@ -114,6 +115,8 @@ ORACLES = {
     "LT-19_neighbours": f"""{G}, ids AS (SELECT DISTINCT src AS id FROM edge WHERE src % 1000 < 40),
       b AS (SELECT src AS id, dst AS neighbour, type, true AS outgoing FROM edge UNION ALL SELECT dst, src, type, false FROM edge)
       SELECT b.* FROM b JOIN ids USING (id)""",
+    "LT-19_all_neighbours": f"""{G} SELECT src AS id, dst AS neighbour, type, true AS outgoing FROM edge
+      UNION ALL SELECT dst, src, type, false FROM edge""",
     "LT-20_first_link": f"{R} SELECT source, evidence, min(seq) AS seq FROM relation_obs GROUP BY source, evidence",
     "LT-24_add_aliases": f"""{E} SELECT seq AS id, array_to_string(list_sort(list_distinct([name, lower(name)])), '|') AS aliases
       FROM entity_obs WHERE type = 'LOCATION'""",

@@ -11,10 +11,31 @@ S = v.with_sql("step")
 FAILED = "('error', 'failure', 'timeout')"
 
 
+def _customers(s, d):
+    return v.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+
+
+def _customer_name(number):
+    return F.concat(F.lit("Customer#"), F.lpad((number + 1).cast("string"), 9, "0")).alias("name")
+
+
 def _touched(s, d, part: int):
-    steps = v.steps(s, d).select("id", F.concat(F.lit("Customer#"), F.lpad((F.col("id") % 1600 + 1).cast("string"), 9, "0")).alias("name"))
-    entities = v.table(s, d, "customer").filter("c_custkey <= 1200").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return re.touched(steps, entities)[part]
+    steps = v.steps(s, d).select("id", _customer_name(F.col("id") % 1600))
+    return re.touched(steps, _customers(s, d))[part]
+
+
+def _known(s, d):
+    """The edges to known entities; a stub's id is a hash, which the query's SQL does not state."""
+    return _touched(s, d, 0).join(_customers(s, d).select(F.col("id").alias("entity_id")), "entity_id", "left_semi").select("step_id", "entity_id")
+
+
+def _all_touched(s, d):
+    """All edges, by name, over steps that name the whole customer table and 399 unknown ones; the id of known entities."""
+    last = v.table(s, d, "customer").agg(F.max("c_custkey").alias("last"))
+    steps = v.steps(s, d).crossJoin(F.broadcast(last)).select("id", _customer_name(F.col("id") % (F.col("last") + 400)))
+    edges = re.touched(steps, _customers(s, d))[0]
+    known = _customers(s, d).select(F.col("id").alias("entity_id"), F.col("id").alias("known_id"))
+    return edges.join(known, "entity_id", "left").select("step_id", "name", "known_id")
 
 
 QUERIES = {
@@ -25,7 +46,8 @@ QUERIES = {
         "trace_id", F.array_join(F.transform("steps", lambda x: F.concat_ws(":", x["step_number"], x["tool_name"], x["status"])), ",").alias("steps")
     ),
     "RE-10_list_traces": lambda s, d: re.traces(v.steps(s, d)).filter("not success and started_at >= timestamp'2024-01-01 03:00:00'").orderBy(F.desc("steps"), "trace_id").offset(3).limit(20),
-    "RE-12_touched_entities": lambda s, d: _touched(s, d, 0).filter("entity_id between 1 and 1200"),
+    "RE-12_touched_entities": lambda s, d: _known(s, d),
+    "RE-12_all_edges": _all_touched,
     "RE-12_stub_entities": lambda s, d: _touched(s, d, 1).select("name"),
     "RE-14_context_text": lambda s, d: re.numbered(v.steps(s, d)).filter("step_number <= 3").groupBy("trace_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step_number", "tool_name"))), lambda x: x["tool_name"]), " > ").alias("context")
@@ -43,6 +65,8 @@ ORACLES = {
       count(*) FILTER (status IN {FAILED}) = 0 AS success FROM step GROUP BY trace_id)
       SELECT * FROM t WHERE NOT success AND started_at >= TIMESTAMP '2024-01-01 03:00:00' ORDER BY steps DESC, trace_id LIMIT 20 OFFSET 3""",
     "RE-12_touched_entities": "SELECT DISTINCT event_id AS step_id, event_id % 1600 + 1 AS entity_id FROM events WHERE event_id % 1600 + 1 <= least(1200, (SELECT max(c_custkey) FROM customer))",
+    "RE-12_all_edges": """WITH n AS (SELECT event_id, 'Customer#' || lpad(CAST(event_id % ((SELECT max(c_custkey) FROM customer) + 400) + 1 AS VARCHAR), 9, '0') AS name FROM events)
+      SELECT DISTINCT event_id AS step_id, name, c_custkey AS known_id FROM n LEFT JOIN customer ON c_name = name""",
     "RE-12_stub_entities": """SELECT DISTINCT 'Customer#' || lpad(CAST(event_id % 1600 + 1 AS VARCHAR), 9, '0') AS name FROM events
       WHERE event_id % 1600 + 1 > least(1200, (SELECT max(c_custkey) FROM customer))""",
     "RE-14_context_text": f"""{S}, n AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ts, id) AS k FROM step)

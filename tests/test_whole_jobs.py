@@ -116,3 +116,17 @@ def test_products_are_exact_or_an_error():
     assert topk.products(q[:2], x, none[:2]).tolist() == [[2**62 - 1, 7 * 2**40], [3 * 2**22 + 5, 21]]
     with pytest.raises(OverflowError):
         topk.products(q, x, none)
+
+
+def test_touched_edges_and_neighbours_are_whole(spark):
+    customers = {r[0] for r in table("customer").select("c_custkey").fetchall()}
+    steps = [r[0] for r in table("events").select("event_id").fetchall()]
+    queries = registry.queries()
+    known = [tuple(r) for r in queries["RE-12_touched_entities"](spark, SF).collect()]
+    assert sorted(known) == sorted((i, i % 1600 + 1) for i in steps if i % 1600 + 1 in customers)
+    every = [tuple(r) for r in queries["RE-12_all_edges"](spark, SF).collect()]
+    number = {i: i % (max(customers) + 400) + 1 for i in steps}
+    assert sorted(every, key=str) == sorted(((i, f"Customer#{n:09}", n if n in customers else None) for i, n in number.items()), key=str)
+    assert any(r[2] is None for r in every) and any((r[2] or 0) > 1200 for r in every)
+    edges = sum(len(table(t).fetchall()) for t in ("customer", "supplier", "nation"))
+    assert queries["LT-19_all_neighbours"](spark, SF).count() == 2 * edges
