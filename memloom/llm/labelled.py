@@ -12,8 +12,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """doc_id, text, y: at most `per_class` training rows of each class, by hash of the id.
 
     A document with several labels has their mean, rounded; null labels take no
-    part. The ids (2 * per_class at most) are broadcast, so no text is shuffled,
-    and only the sample's texts are kept, in the shared folder.
+    part. Of documents that share an id the least text is taken. The ids (2 *
+    per_class at most) are broadcast, so no text is shuffled but the sample's,
+    which are kept in the shared folder.
     """
     rows = (
         labels.filter(F.col(label).isNotNull() & is_training())
@@ -23,4 +24,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     order = F.xxhash64("doc_id")
     picked = [rows.filter(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     ids = F.broadcast(picked[0].unionAll(picked[1]))
-    return cut(docs.select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"]).coalesce(parts))
+    picked_texts = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    return cut(picked_texts.coalesce(parts))

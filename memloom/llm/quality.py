@@ -1,16 +1,22 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-Method. A text's terms are trigrams of character shapes (letter case, digit,
-blank, line end, each punctuation mark) and marks for repeated words. A bounded
-sample of labelled texts gives the terms' weights (log counts times inverse
-document frequency) and, by a truncated singular value decomposition, the latent
-space. The labelled vectors are broadcast: at most 2 * PER_CLASS vectors of
-DIMENSIONS floats, whatever the corpus. Every text is folded into the space, its
-exact cosines with all labelled vectors are computed block by block, and the
-labels of its NEIGHBOURS nearest are averaged with their similarities as weights.
-
-Defined cases. A null or empty text has no terms and scores 0. Without any
-labelled training row every text scores 0.5. Rows that repeat are scored each.
+Method. A text's terms are its words and pairs of neighbouring words, hashed, and
+beside them trigrams of character shapes (letter case, digit, blank, line end,
+each punctuation mark) and marks for repeated words. A bounded sample of labelled
+texts gives the terms' weights (log counts times inverse document frequency) and,
+by a truncated singular value decomposition, the latent space. The labelled
+vectors are broadcast: at most 2 * PER_CLASS vectors of DIMENSIONS floats,
+whatever the corpus. Every text is folded into the space, its exact cosines with
+all labelled vectors are computed block by block, and the labels of its
+NEIGHBOURS nearest are averaged with their similarities as weights. Counts are
+held for at most BLOCK texts at a time.
+
+Defined cases. A null or empty text has no terms and scores 0, as does a text
+whose labelled neighbours all have a similarity of 0 or less. Without any labelled
+training row, as with an empty table of labels, every text scores 0.5. An empty
+table of documents gives no rows. Rows that repeat are scored each, equal texts
+alike. Very long texts are read whole. Further columns, whatever their names,
+take no part. The model does not depend on the order in which rows arrive.
 """
 
 from __future__ import annotations
@@ -25,17 +31,20 @@ from pyspark.sql import functions as F
 
 from memloom.llm.labelled import labelled_sample
 from memloom.llm.shared import held_out
-from memloom.llm.textbytes import run_hashes, runs, word_bounds
+from memloom.llm.textbytes import lower, mix, run_hashes, runs, word_bounds
 
 #: The classifier is fitted on at most so many labelled rows of each class.
 PER_CLASS = 2000
-TERMS, DIMENSIONS, NEIGHBOURS = 4096, 48, 25
+#: Buckets of hashed words and word pairs, and of shape trigrams.
+WORD_TERMS, SHAPE_TERMS = 4096, 1024
+DIMENSIONS, NEIGHBOURS = 64, 25
 #: Similarities are raised to this power before they weigh a vote.
 SHARPNESS = 8
-#: Texts whose cosines are computed at once.
+#: Texts whose terms and cosines are computed at once.
 BLOCK = 256
 #: Two terms more: a word equal to the one before, and to the second before.
 REPEATS = 2
+WIDTH = WORD_TERMS + SHAPE_TERMS + REPEATS
 
 
 def _shapes() -> np.ndarray:
@@ -54,20 +63,34 @@ SHAPE = _shapes()
 
 def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Counts of each term (columns) in each text (rows)."""
-    n, width = len(offsets) - 1, TERMS + REPEATS
-    out = np.zeros((n, width), np.float32)
+    n = len(offsets) - 1
     text = np.repeat(np.arange(n), np.diff(offsets))
+    place = []
     if len(data) > 2:
         s = SHAPE[data]
-        term = ((s[:-2] * 1_000_003 + s[1:-1]) * 1_000_003 + s[2:]) * 2_654_435_761 % (1 << 32) % TERMS
+        term = ((s[:-2] * 1_000_003 + s[1:-1]) * 1_000_003 + s[2:]) * 2_654_435_761 % (1 << 32) % SHAPE_TERMS
         same = text[:-2] == text[2:]
-        out += np.bincount(text[:-2][same] * width + term[same], minlength=n * width).reshape(n, width)
+        place.append(text[:-2][same] * WIDTH + WORD_TERMS + term[same])
     starts, ends, _ = word_bounds(data, offsets)
-    words, of = run_hashes(data, starts, ends), text[starts] if len(starts) else starts
-    for k in range(1, REPEATS + 1):
-        again = (words[k:] == words[:-k]) & (of[k:] == of[:-k])
-        out[:, TERMS + k - 1] = np.bincount(of[k:][again], minlength=n)
-    return out
+    if len(starts):
+        words, of = run_hashes(lower(data), starts, ends), text[starts]
+        place.append(of * WIDTH + (words % np.uint64(WORD_TERMS)).astype(np.int64))
+        next_to = of[1:] == of[:-1]
+        pairs = mix(words[:-1] * np.uint64(3) + words[1:])[next_to]
+        place.append(of[1:][next_to] * WIDTH + (pairs % np.uint64(WORD_TERMS)).astype(np.int64))
+        for k in range(1, REPEATS + 1):
+            again = (words[k:] == words[:-k]) & (of[k:] == of[:-k])
+            place.append(of[k:][again] * WIDTH + WORD_TERMS + SHAPE_TERMS + k - 1)
+    out = np.zeros(n * WIDTH, np.float32)
+    for p in place:
+        out += np.bincount(p, minlength=n * WIDTH)
+    return out.reshape(n, WIDTH)
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(ids, term counts) of at most BLOCK texts at a time."""
+    for keys, data, offsets in runs(batches, rows=BLOCK):
+        yield keys, term_counts(data, offsets)
 
 
 @dataclass
@@ -78,25 +101,28 @@ class Model:
     labels: np.ndarray
 
     def place(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.weights
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        z = x @ self.basis
+        z = weighted(counts, self.weights) @ self.basis
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
-        out = np.empty(len(counts))
+        """Scores of the rows of counts, BLOCK at most; counts are overwritten."""
         if not len(self.labels):
-            out[:] = 0.5
-            return out
+            return np.full(len(counts), 0.5)
+        some = counts.any(1)
         k = min(NEIGHBOURS, len(self.labels))
-        for a in range(0, len(counts), BLOCK):
-            some = counts[a : a + BLOCK]
-            cosines = self.place(some) @ self.vectors.T
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64) ** SHARPNESS
-            votes = (weight * self.labels[near]).sum(1) / np.maximum(weight.sum(1), 1e-12)
-            out[a : a + BLOCK] = np.where(some.any(1), votes, 0.0)
-        return np.clip(out, 0.0, 1.0)
+        cosines = self.place(counts) @ self.vectors.T
+        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        weight = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64) ** SHARPNESS
+        votes = (weight * self.labels[near]).sum(1) / np.maximum(weight.sum(1), 1e-12)
+        return np.clip(np.where(some, votes, 0.0), 0.0, 1.0)
+
+
+def weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Rows of unit length of log counts times weights, in place of counts."""
+    np.log1p(counts, out=counts)
+    counts *= weights
+    counts /= np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-9)
+    return counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Model:
@@ -104,36 +130,33 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pair = pa.RecordBatch.from_arrays([b.column(1), b.column(0)], ["y", "text"])
-            for y, data, offsets in runs(iter([pair])):
-                c = term_counts(data, offsets)
+            keys = pa.StructArray.from_arrays([b.column(1), b.column(2)], ["h", "y"])
+            for key, c in pieces(iter([pa.RecordBatch.from_arrays([keys, b.column(0)], ["key", "text"])])):
                 row, col = np.nonzero(c)
                 at = np.searchsorted(row, np.arange(len(c) + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(v)) for v in (col.astype(np.int32), c[row, col])]
-                yield pa.RecordBatch.from_arrays([y, *lists], ["y", "term", "n"])
+                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(v)) for v in (col.astype(np.int16), c[row, col])]
+                yield pa.RecordBatch.from_arrays([key.field("h"), key.field("y"), *lists], ["h", "y", "term", "n"])
 
     sample = labelled_sample(docs, labels, label, per_class)
-    rows = sample.select("text", "y").mapInArrow(terms, "y int, term array<int>, n array<float>").toArrow()
-    width = TERMS + REPEATS
-    counts = np.zeros((len(rows), width), np.float32)
+    rows = sample.select("text", F.xxhash64("text").alias("h"), "y").mapInArrow(terms, "h long, y int, term array<short>, n array<float>").toArrow()
+    rows = rows.sort_by([("h", "ascending"), ("y", "ascending")]).combine_chunks()  # the same model whatever order the rows arrive in
+    counts = np.zeros((len(rows), WIDTH), np.float32)
     if len(rows):
         term, n = rows["term"].combine_chunks(), rows["n"].combine_chunks()
-        sizes = np.diff(term.offsets.to_numpy())
-        counts[np.repeat(np.arange(len(rows)), sizes), term.flatten().to_numpy()] = n.flatten().to_numpy()
-    order = np.lexsort(counts[:, :64].T) if len(rows) else []  # the same model whatever order the rows arrive in
-    counts, y = counts[order], np.array(rows["y"].to_pylist(), np.float64)[order]
+        counts[np.repeat(np.arange(len(rows)), np.diff(term.offsets.to_numpy())), term.flatten().to_numpy()] = n.flatten().to_numpy()
+    y = np.array(rows["y"].to_pylist(), np.float64)
     weights = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 0.05).astype(np.float32)
-    m = Model(weights, np.zeros((width, 1), np.float32), np.zeros((0, 1), np.float32), y)
+    m = Model(weights, np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), y)
     if len(counts):
-        x = np.log1p(counts) * weights
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        x = weighted(counts, weights)
         rank = min(DIMENSIONS, *x.shape)
-        probe = x @ np.random.default_rng(7).standard_normal((width, min(rank + 16, len(x)))).astype(np.float32)
+        probe = x @ np.random.default_rng(7).standard_normal((WIDTH, min(rank + 16, len(x)))).astype(np.float32)
         for _ in range(4):  # power iterations of a randomised decomposition
             probe = np.linalg.qr(x @ (x.T @ np.linalg.qr(probe)[0]))[0]
         _, _, v = np.linalg.svd(probe.T @ x, full_matrices=False)
         m.basis = np.ascontiguousarray(v[:rank].T.astype(np.float32))
-        m.vectors = m.place(counts)
+        z = x @ m.basis
+        m.vectors = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
     return m
 
 
@@ -142,9 +165,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", th
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, data, offsets in runs(batches):
-            score = model.value.score(term_counts(data, offsets))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(score)], ["doc_id", "score"])
+        for keys, counts in pieces(batches):
+            yield pa.RecordBatch.from_arrays([keys, pa.array(model.value.score(counts))], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select(
@@ -159,9 +181,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", thresh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            place = pa.array(np.arange(b.num_rows))
-            pair = pa.RecordBatch.from_arrays([place, b.column(names.index("text"))], ["at", "text"])
-            keep = np.concatenate([model.value.score(term_counts(data, offsets)) >= threshold for _, data, offsets in runs(iter([pair]))] or [np.zeros(0, bool)])
-            yield b.filter(pa.array(keep))
+            pair = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows), b.column(names.index("text"))], ["at", "text"])
+            keep = np.concatenate([model.value.score(c) >= threshold for _, c in pieces(iter([pair]))] or [np.zeros(0, bool)])
+            for k in range(0, len(keep), BLOCK):  # small batches, so that no second copy of the whole one is held
+                yield b.slice(k, BLOCK).filter(pa.array(keep[k : k + BLOCK]))
 
     return docs.mapInArrow(run, docs.schema)

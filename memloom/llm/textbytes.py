@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are handled in runs of rows of about so many bytes, to bound memory.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -26,8 +26,8 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 
-def runs(batches: Iterator[pa.RecordBatch], most: int = RUN_BYTES) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(ids, bytes, offsets) for runs of rows of about `most` bytes of text; null texts are empty."""
+def runs(batches: Iterator[pa.RecordBatch], most: int = RUN_BYTES, rows: int = 1 << 30) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(ids, bytes, offsets) for runs of at most `rows` rows and about `most` bytes of text; null texts are empty."""
     for b in batches:
         texts = pc.fill_null(b.column(1).cast(pa.large_string()), "")
         offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
@@ -35,6 +35,7 @@ def runs(batches: Iterator[pa.RecordBatch], most: int = RUN_BYTES) -> Iterator[t
         start = 0
         while start < len(texts):
             end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
+            end = min(end, start + rows)
             yield b.column(0).slice(start, end - start), data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]
             start = end
 
@@ -87,5 +88,9 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """A 64-bit hash of each run data[start:end]."""
     up, down = POWERS.get(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)  # not concatenated with an int: that would make floats
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=sums[1:])
+    each = sums[1:]  # in place: long texts take eight bytes a byte once
+    each[:] = data
+    each += np.uint64(1)
+    each *= up[: len(data)]
+    np.cumsum(each, out=each)
     return mix((sums[ends] - sums[starts]) * down[starts])
