@@ -14,7 +14,11 @@ whatever the corpus) is broadcast; nothing is shuffled.
 
 Defined cases. A null or empty text has no tokens (both digests are those of
 the empty string). The special tokens' own strings in a text become their ids,
-as in the library. A null id and repeated rows are kept as they are.
+as in the library, whatever letters they begin with; a vocabulary whose added
+tokens strip blanks or are normalised is refused. A null id and repeated rows are
+kept as they are, equal texts with equal digests. A text longer than a run is a
+run of its own and is encoded whole. An empty table gives no rows. Further
+columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -33,11 +37,11 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, models
 
 #: Words whose results are kept per Python worker, and the longest word to keep.
-KEPT_WORDS, KEPT_LENGTH = 250_000, 64
+KEPT_WORDS, KEPT_LENGTH = 100_000, 64
 #: Vocabulary files over this many bytes are refused: they are broadcast.
 VOCABULARY_BYTES = 64 << 20
 #: Texts are handled in runs of rows of about so many bytes, to bound memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Fixed value: the split pattern of the vocabulary file that LATIN_PIECES stands for.
 LIBRARY_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same pattern for lower-case text of letters below U+0250.
@@ -64,6 +68,9 @@ class ForcedBoundaryEncoder:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.specials = {t["content"]: t["id"] for t in conf["added_tokens"]}
+        for t in conf["added_tokens"]:
+            if any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized")) or re.search(r"\s", t["content"]):
+                raise ValueError(f"added token {t['content']!r} is stripped, normalised, a whole word or holds a blank: not supported")
         self.token = {i: t for t, i in [*self.vocab.items(), *self.specials.items()]}
         letters = byte_letters()
         self.letters = dict(enumerate(letters))
@@ -122,7 +129,7 @@ class ForcedBoundaryEncoder:
         need: dict[bool, dict[bytes, tuple[int, str, str]]] = {True: {}, False: {}}
         out = {}
         for c in chunks:
-            if "<|" in c and (parts := self.parts_of(c)) != [c]:
+            if self.marks.search(c) and (parts := self.parts_of(c)) != [c]:
                 found = [(1, str(self.specials[p]), p) if p in self.specials else self.results([p])[p] for p in parts]
                 out[c] = _joined(found)
                 continue
