@@ -11,16 +11,20 @@ max(d(q, p) - hi, lo - d(q, p), 0); the search stops at annuli beyond the bound.
 
 Components are integers (floor(256 * x)) of any size, scores are exact integer
 inner products, and bounds are loosened by more than their rounding, so the
-result is exact. Distances are in units of the largest norm. The pivots and the annuli's bounds (PIVOTS * RINGS numbers) are of fixed
-size; vectors are packed in blocks of BLOCK rows, and queries in groups, so a
-large annulus is many blocks and no task holds it whole.
+result is exact. Distances are in units of the largest norm. The pivots and the
+annuli's bounds (PIVOTS * RINGS numbers) are of fixed size. Vectors are packed in
+blocks of BLOCK rows of one annulus, and a pivot's blocks are dealt over shelves
+of about SHELF rows, so that no task holds a large annulus whole, be all its
+vectors equal. Queries are packed in groups; a group is sent once to each shelf of
+a pivot, with the annuli that each of its queries wants, and not once to each annulus.
 
 Defined cases. Vectors that are null, or hold a null or a component that is not
-finite, take no part; neither do rows with a null id, nor vectors of another
-length than the most common one. Rows that repeat an id are separate
+finite, take no part; neither do rows with a null id. A vector shorter than the
+longest counts as if zeros followed. Rows that repeat an id are separate
 candidates; a query is never matched with rows of its own id. Ties go to the
-smaller id. With fewer than k candidates all are returned. A score that does not
-fit 64 bits is an error, and so is a component beyond the doubles when scaled.
+smaller id. With fewer than k candidates all are returned; an empty table has no
+result. Further columns, whatever their names, take no part. A score that does
+not fit 64 bits is an error, and so is a component beyond the doubles when scaled.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 
 from memloom.llm.shared import cut
 
-PIVOTS, RINGS, BLOCK, QUERIES = 32, 16, 1024, 256
+PIVOTS, RINGS, BLOCK, QUERIES, SHELF = 32, 16, 1024, 256, 16384
 SCALE = 256
 #: Components up to this are multiplied apart from larger ones, which are slower.
 USUAL = 1 << 20
@@ -47,7 +51,7 @@ SLACK = 1e-6
 def scaled(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id and v, the components as whole numbers in doubles, of the rows that take part."""
     v = F.col(vector_col)
-    sound = v.isNotNull() & (F.size(v) > 0) & F.forall(
+    sound = v.isNotNull() & (F.size(v) >= 0) & F.forall(
         v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
     )
     whole = vectors.filter(sound & F.col(id_col).isNotNull())
@@ -104,14 +108,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     top = F.array_max(F.transform("v", F.abs))
     # The norm by its largest component, so that no square is beyond the doubles.
     norm = F.when(top > 0, top * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / top) * (x / top)))).otherwise(0.0)
-    sizes = every.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.max(norm).alias("norm"), F.max(top).alias("top"))
-    common = sizes.orderBy(F.desc("rows"), "n").first()
+    size = F.size("v")
+    common = every.agg(F.min(size).alias("least"), F.max(size).alias("most"), F.max(norm).alias("norm"), F.max(top).alias("top")).first()
     result = "query_id long, rank int, vec_id long, score long"
-    if common is None:
+    if common["most"] is None:
         return spark.createDataFrame([], result)
-    width, unit = common["n"], float(common["norm"]) or 1.0
-    every = every.filter(F.size("v") == width)
-    small = common["top"] < 1 << 31
+    width, unit = common["most"], float(common["norm"] or 0.0) or 1.0
+    if common["least"] < width:
+        every = every.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), width - size)))
+    small = (common["top"] or 0.0) < 1 << 31
     number = np.int32 if small else np.float64
     if small:
         every = every.withColumn("v", F.col("v").cast("array<int>"))
@@ -164,23 +169,30 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     def lower(x: np.ndarray) -> np.ndarray:
         """Of each query and annulus: the least possible distance."""
         lifted = np.concatenate([x.astype(np.float64) / unit, np.zeros((len(x), 1))], axis=1)
-        d = _distances(lifted, sent.value)[:, bounds.value[:, 0].astype(int) // (RINGS + 1)]
+        d = _distances(lifted, sent.value)[:, of_pivot]
         return np.maximum(np.maximum(d - bounds.value[:, 3], bounds.value[:, 2] - d), 0) - SLACK * (1 + d) - slack
 
+    ring = bounds.value[:, 0].astype(int) % (RINGS + 1)
+    of_pivot = bounds.value[:, 0].astype(int) // (RINGS + 1)
+    rows = np.bincount(of_pivot, bounds.value[:, 1], minlength=PIVOTS)
+    shelves = np.maximum(1, np.ceil(rows / SHELF)).astype(np.int64)
+
     def grouped(batches: Iterator[pd.DataFrame], pick) -> Iterator[pd.DataFrame]:
-        """(cell, the queries to search it, packed in groups of QUERIES)."""
+        """(pivot, number of its shelves, the queries to search it, packed in groups of QUERIES, with their annuli as bits)."""
         for b in batches:
             if not len(b):
                 continue
             x = np.array([np.frombuffer(v, number) for v in b["v"]])
             wanted = pick(b, x, lower(x))
-            for c in np.flatnonzero(wanted.any(0)):
-                at = np.flatnonzero(wanted[:, c])
+            least = b["least"].to_numpy(np.int64) if "least" in b else np.full(len(b), NONE)
+            for p in np.unique(of_pivot):
+                bits = (wanted[:, of_pivot == p] * (1 << ring[of_pivot == p])).sum(1).astype(np.int32)
+                at = np.flatnonzero(bits)
                 for a in range(0, len(at), QUERIES):
                     some = at[a : a + QUERIES]
                     yield pd.DataFrame(
-                        {"cell": [int(bounds.value[c, 0])], "qids": [b["vec_id"].to_numpy(np.int64)[some].tobytes()], "qs": [x[some].tobytes()],
-                         "least": [(b["least"].to_numpy(np.int64)[some] if "least" in b else np.full(len(some), NONE)).tobytes()]}
+                        {"pivot": [int(p)], "shelves": [int(shelves[p])], "qids": [b["vec_id"].to_numpy(np.int64)[some].tobytes()],
+                         "qs": [x[some].tobytes()], "least": [least[some].tobytes()], "wants": [bits[some].tobytes()]}
                     )
 
     def nearest(b: pd.DataFrame, x: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -205,11 +217,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
             for r in b.itertuples():
                 ids, qids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.qids, np.int64)
                 x = np.frombuffer(r.vs, number).reshape(len(ids), -1)
-                q = np.frombuffer(r.qs, number).reshape(len(qids), -1)
+                asks = np.flatnonzero(np.frombuffer(r.wants, np.int32) >> (r.cell % (RINGS + 1)) & 1)
+                if not len(asks):
+                    continue
+                q, least = np.frombuffer(r.qs, number).reshape(len(qids), -1)[asks], np.frombuffer(r.least, np.int64)[asks]
+                qids = qids[asks]
                 s = products(q, x, qids[:, None] == ids[None, :])
                 keep = min(k, len(ids))
                 worst = np.partition(s, len(ids) - keep, axis=1)[:, len(ids) - keep]
-                row, col = np.nonzero((s >= np.maximum(worst, np.frombuffer(r.least, np.int64))[:, None]) & (s > NONE))
+                row, col = np.nonzero((s >= np.maximum(worst, least)[:, None]) & (s > NONE))
                 found = pd.DataFrame({"query_id": qids[row], "vec_id": ids[col], "score": s[row, col]})
                 # ties at the block's k-th score beyond k rows: smaller ids first
                 found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
@@ -219,15 +235,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
-    kind, out = "cell int, qids binary, qs binary, least binary", "query_id long, vec_id long, score long"
-    one = asked.mapInPandas(lambda it: grouped(it, nearest), kind)
-    start = cut(best(one.join(blocks, "cell").mapInPandas(scores, out)))
+    kind = "pivot int, shelves long, qids binary, qs binary, least binary, wants binary"
+    out = "query_id long, vec_id long, score long"
+    here = F.lit(RINGS + 1)
+    dealt = blocks.join(
+        F.broadcast(spark.createDataFrame([(p, int(n)) for p, n in enumerate(shelves)], "pivot int, shelves long")), F.floor(F.col("cell") / here) == F.col("pivot")
+    ).select("pivot", F.pmod(F.xxhash64("cell", "ids"), "shelves").alias("shelf"), "cell", "ids", "vs")
+
+    def searched(queries: DataFrame, pick) -> DataFrame:
+        asking = queries.mapInPandas(lambda it: grouped(it, pick), kind)
+        asking = asking.withColumn("shelf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shelves") - 1))).drop("shelves")
+        return asking.join(dealt, ["pivot", "shelf"]).mapInPandas(scores, out)
+
+    start = cut(best(searched(asked, nearest)))
     kth = start.groupBy("query_id").agg(F.min("score").alias("s"), F.count("*").alias("n"))
     least = asked.join(kth.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select(
         "vec_id", "v", F.when(F.col("n") >= k, F.col("s")).otherwise(F.lit(NONE).cast("long")).alias("least")
     )
-    two = least.mapInPandas(lambda it: grouped(it, within), kind)
-    rest = two.join(blocks, "cell").mapInPandas(scores, out)
-    return best(start.select("query_id", "vec_id", "score").unionAll(rest)).select(
+    return best(start.select("query_id", "vec_id", "score").unionAll(searched(least, within))).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"
     )
