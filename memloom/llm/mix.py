@@ -8,10 +8,10 @@ document's exact place in its source; the source is then cut at its budget, and
 whole epochs precede the cut when the budget exceeds the source.
 
 Defined cases. A null text has size 0. Null sources form one source, ordered
-last. A null id hashes as empty text. Rows with equal ids are separate rows;
-ties in the key are ordered by id, then size. With no rows the result is empty.
-Further columns are carried through; columns that this module adds begin with
-``_mix_``, and an input column of such a name is an error from Spark.
+last. A row without an id gets its key from its text. Rows with equal ids are
+separate rows; ties in the key are ordered by id, then size, and equal rows are
+interchangeable. With no rows the result is empty. Very long texts are counted
+whole. Further columns pass through, whatever their names.
 
 One row per source passes through a single window task (to number the sources
 and fill their targets); documents never do.
@@ -41,7 +41,8 @@ def word_count(text: str | Column) -> Column:
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, digits: int) -> DataFrame:
     """docs with its size, source key, hash-random key and range."""
-    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(seed)).cast("binary"))
+    alone = F.concat(F.lit(seed), F.coalesce(F.col(text_col), F.lit("")))
+    key = F.md5(F.coalesce(F.concat(F.col(id_col).cast("string"), F.lit(seed)), alone).cast("binary"))
     return docs.withColumns(
         {
             "_mix_size": word_count(F.col(text_col)),
@@ -122,18 +123,19 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def mixed_documents(docs: DataFrame, seed: str = "mix-1", **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, seed: str = "mix-1", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options
+) -> DataFrame:
     """The documents of the mix, with docs's columns: one row per epoch that takes them.
 
     The document in which a source's budget ends appears once more with only the
     words up to the budget, so each source yields its exact number of words.
     """
-    _, cells = plan_mix(docs, seed=seed, **options)
-    digits = F.length("_mix_range")
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    n = cells.select(F.max(digits)).first()[0] or 2
-    rows = keyed(docs, id_col, text_col, options.get("source_col", "source"), seed, n)
-    taken = take(rows, cells, id_col)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names that can't clash with this module's
+    id_col, text_col, source_col = (plain.columns[docs.columns.index(c)] for c in (id_col, text_col, source_col))
+    _, cells = plan_mix(plain, id_col, text_col, source_col, seed, **options)
+    n = cells.select(F.max(F.length("_mix_range"))).first()[0] or 2
+    taken = take(keyed(plain, id_col, text_col, source_col, seed, n), cells, id_col)
     words = F.col("_mix_taken") - (F.col("_mix_epoch") - 1) * F.col("_mix_size")
     head = F.call_function(
         "regexp_extract",
@@ -144,6 +146,5 @@ def mixed_documents(docs: DataFrame, seed: str = "mix-1", **options) -> DataFram
     copies = taken.filter("_mix_taken > 0").withColumn(
         "_mix_epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_mix_taken") / F.col("_mix_size"))))
     )
-    return copies.withColumn(text_col, F.when(words < F.col("_mix_size"), head).otherwise(F.col(text_col))).select(
-        *docs.columns
-    )
+    cut_short = copies.withColumn(text_col, F.when(words < F.col("_mix_size"), head).otherwise(F.col(text_col)))
+    return cut_short.select(*plain.columns).toDF(*docs.columns)

@@ -18,7 +18,7 @@ ORACLES = {
 WITH sized AS (
   SELECT doc_id, coalesce('s' || source, 't') AS src,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '') || 'mix-1') AS k
+         md5(coalesce(doc_id::VARCHAR || 'mix-1', 'mix-1' || coalesce(text, ''))) AS k
   FROM documents),
 per AS (SELECT src, sum(size)::BIGINT AS source_size FROM sized GROUP BY src),
 ranked AS (SELECT *, ((row_number() OVER (ORDER BY src) - 1) % 3 + 1)::BIGINT AS w, source_size * 3 AS cap FROM per),
