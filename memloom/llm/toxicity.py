@@ -1,22 +1,26 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Method. Features are hashed n-grams of a text's lower-case bytes (present or
-not). Over a bounded sample of labelled texts, each feature's log-count ratio is
+Method. Features are hashed n-grams of a text's characters in lower case (present
+or not). Over a bounded sample of labelled texts, each feature's log-count ratio is
 the log of its smoothed share of toxic texts' features over that of other texts.
 The features that separate best are kept; a logistic regression is fitted on
 them, each scaled by its ratio. Weight times ratio is one number a feature, so a
 text's score is one sum over its distinct features. The table of these numbers
 has 2**BITS floats, whatever the corpus, and is broadcast.
 
-Defined cases. A null or empty text has no features: its score is the
-intercept's. Without labelled rows of both classes every text scores 0.
-Rows that repeat are scored each.
+Defined cases. A null or empty text, or one shorter than the shortest n-gram, has
+no features: its score is the intercept's. Without labelled rows of both classes,
+as with an empty table of labels, every text scores 0; an empty table of documents
+gives no rows. Rows that repeat are scored each, equal texts alike. Very long texts
+are read whole. Further columns, whatever their names, take no part. A score equal
+to the threshold is predicted 1.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from memloom.llm.labelled import labelled_sample
 from memloom.llm.shared import held_out
-from memloom.llm.textbytes import lower, mix, runs
+from memloom.llm.textbytes import BASE, mix, runs
 
 #: The classifier is fitted on at most so many labelled rows of each class.
 PER_CLASS = 3000
@@ -36,18 +40,34 @@ KEPT, LEAST_TEXTS, LEAST_Z = 5000, 4, 4
 STEPS, RIDGE = 400, 1e-5
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    """For each n-gram length: the feature at each byte of the run, -1 where a text ends too soon."""
-    low = lower(data).astype(np.uint64)
-    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
-    total = np.zeros(len(data), np.uint64)
+@lru_cache(maxsize=1)
+def _folded() -> np.ndarray:
+    """The lower case of each character of the basic plane, where that is one character."""
+    low = [chr(c).lower() for c in range(1 << 16)]
+    return np.array([ord(x) if len(x) == 1 else c for c, x in enumerate(low)], np.uint32)
+
+
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points in lower case, offsets) of a run of UTF-8 texts."""
+    raw = data.tobytes()
+    texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = np.where(points < 1 << 16, _folded()[np.minimum(points, (1 << 16) - 1)], points)
+    return low, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+
+def features(points: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """For each n-gram length: the feature at each character of the run, -1 where a text ends too soon."""
+    low = points.astype(np.uint64)
+    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(points))
+    total = np.zeros(len(points), np.uint64)
     for n in range(1, max(LENGTHS) + 1):
-        if n > len(data):  # no text of the run is as long
+        if n > len(points):  # no text of the run is as long
             if n in LENGTHS:
-                yield np.full(len(data), -1, np.int32)
+                yield np.full(len(points), -1, np.int32)
             continue
-        total = total * np.uint64(257)
-        total[: len(data) - n + 1] += low[n - 1 :] + np.uint64(1)
+        total = total * np.uint64(BASE)
+        total[: len(points) - n + 1] += low[n - 1 :] + np.uint64(1)
         if n in LENGTHS:
             place = (mix(total + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int32)
             yield np.where(left >= n, place, np.int32(-1))
@@ -55,9 +75,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
 
 def distinct_features(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) of every distinct feature of each text, where wanted."""
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    points, places = characters(data, offsets)
+    text = np.repeat(np.arange(len(places) - 1), np.diff(places))
     found = []
-    for f in features(data, offsets):
+    for f in features(points, places):
         keep = f >= 0
         if wanted is not None:
             keep &= wanted[f]
@@ -135,12 +156,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use, place = sent.value
-        for y, data, offsets in runs(batches):
-            text, f = distinct_features(data, offsets, use)
-            at = np.searchsorted(text, np.arange(len(offsets))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([y, pa.ListArray.from_arrays(pa.array(at), pa.array(place[f]))], ["y", "f"])
-
-    got = sample.mapInArrow(rows, "y int, f array<int>").toArrow()
+        for b in batches:
+            keys = pa.StructArray.from_arrays([b.column(0), b.column(2)], ["y", "h"])
+            for key, data, offsets in runs(iter([pa.RecordBatch.from_arrays([keys, b.column(1)], ["key", "text"])])):
+                text, f = distinct_features(data, offsets, use)
+                at = np.searchsorted(text, np.arange(len(offsets))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(place[f]))
+                yield pa.RecordBatch.from_arrays([key.field("y"), key.field("h"), lists], ["y", "h", "f"])
+
+    got = sample.withColumn("h", F.xxhash64("text")).select("y", "text", "h").mapInArrow(rows, "y int, h long, f array<int>").toArrow()
+    got = got.sort_by([("h", "ascending"), ("y", "ascending")])  # the same model whatever order the rows arrive in
     f = got["f"].combine_chunks()
     col = f.flatten().to_numpy()
     row = np.repeat(np.arange(len(got)), np.diff(f.offsets.to_numpy()))
