@@ -36,7 +36,7 @@ from memloom.llm.textbytes import lower, mix, run_hashes, runs, word_bounds
 #: The classifier is fitted on at most so many labelled rows of each class.
 PER_CLASS = 2000
 #: Buckets of hashed words and word pairs, and of shape trigrams.
-WORD_TERMS, SHAPE_TERMS = 4096, 1024
+WORD_TERMS, SHAPE_TERMS = 3072, 1024
 DIMENSIONS, NEIGHBOURS = 64, 25
 #: Similarities are raised to this power before they weigh a vote.
 SHARPNESS = 8
