@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,12 +37,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, models
 
-#: Words whose results are kept per Python worker, and the longest word to keep.
-KEPT_WORDS, KEPT_LENGTH = 100_000, 64
+#: Words whose results are kept per Python worker in each of two generations, and the longest word to keep.
+KEPT_WORDS, KEPT_LENGTH = 40_000, 32
+#: Fragments handed to the library at once: its results are large.
+FRAGMENTS_AT_ONCE = 2000
 #: Vocabulary files over this many bytes are refused: they are broadcast.
 VOCABULARY_BYTES = 64 << 20
 #: Texts are handled in runs of rows of about so many bytes, to bound memory.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Fixed value: the split pattern of the vocabulary file that LATIN_PIECES stands for.
 LIBRARY_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same pattern for lower-case text of letters below U+0250.
@@ -92,6 +95,7 @@ class ForcedBoundaryEncoder:
         self.full = Tokenizer.from_str(spec)
         self.marks = re.compile("|".join(map(re.escape, self.specials)) or r"(?!)")
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def fragments(self, word: bytes) -> list[bytes]:
         """word cut wherever no token holds the two bytes side by side."""
@@ -145,13 +149,13 @@ class ForcedBoundaryEncoder:
             for f, ends in parts:
                 need[ends][f] = (0, "", "")
         for ends, model in ((True, self.last), (False, self.middle)):
-            frags = list(need[ends])
-            got = model.encode_batch_fast(
-                [f.decode("latin-1").translate(self.letters) for f in frags], add_special_tokens=False
-            )
-            for f, e in zip(frags, got, strict=True):
-                ids = e.ids
-                need[ends][f] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+            every = list(need[ends])
+            for k in range(0, len(every), FRAGMENTS_AT_ONCE):
+                frags = every[k : k + FRAGMENTS_AT_ONCE]
+                got = model.encode_batch_fast([f.decode("latin-1").translate(self.letters) for f in frags], add_special_tokens=False)
+                for f, e in zip(frags, got, strict=True):
+                    ids = e.ids
+                    need[ends][f] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
         for c, parts in cut.items():
             out[c] = need[True][parts[0][0]] if len(parts) == 1 else _joined([need[ends][f] for f, ends in parts])
         return out
@@ -161,20 +165,21 @@ class ForcedBoundaryEncoder:
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = split.flatten().dictionary_encode()
         chunks, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        new = self.results([c for c in chunks if c not in self.known])
-        found = [self.known.get(c) or new[c] for c in chunks]
+        kept = [self.known.get(c) or self.older.get(c) for c in chunks]
+        new = self.results([c for c, x in zip(chunks, kept, strict=True) if x is None])
+        found = [x or new[c] for c, x in zip(chunks, kept, strict=True)]
         n = np.array([x[0] for x in found] or [0], np.int64)[at] if len(at) else np.zeros(0, np.int64)
         keep = n > 0
         ends = split.offsets.to_numpy() - split.offsets[0].as_py()
-        kept = np.concatenate([[0], np.cumsum(keep)])[ends].astype(np.int32)
+        places = np.concatenate([[0], np.cumsum(keep)])[ends].astype(np.int32)
         total = np.concatenate([[0], np.cumsum(n)])[ends]
         out = []
         for k in (1, 2):
             flat = pa.array([x[k] for x in found], pa.string()).take(pa.array(at[keep]))
-            out.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(kept), flat), " "))
+            out.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(places), flat), " "))
         if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        self.known.update((c, x) for c, x in new.items() if len(c) <= KEPT_LENGTH)
+            self.older, self.known = self.known, {}
+        self.known.update((c, x) for c, x in zip(chunks, found, strict=True) if len(c) <= KEPT_LENGTH)
         return np.diff(total), out[0], out[1]
 
     def decode(self, ids: list[int]) -> str:
@@ -190,6 +195,7 @@ def _joined(found: list[tuple[int, str, str]]) -> tuple[int, str, str]:
 
 @lru_cache(maxsize=2)
 def _encoder(spec: str) -> ForcedBoundaryEncoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory
     return ForcedBoundaryEncoder(spec)
 
 
@@ -203,6 +209,7 @@ def _spec(df: DataFrame, path: str):
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
     """(ids, texts) in runs of rows of about SLICE_BYTES of text each."""
     for b in batches:
+        pa.default_memory_pool().release_unused()
         texts = b.column(1).cast(pa.large_string())
         sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         start = 0
