@@ -5,23 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from memloom.llm.shared import documents
-from memloom.llm.spotsigs import CHAIN, COMMON, REACH, edited_fingerprints
+from memloom.llm.spotsigs import COMMON, edited_fingerprints
 
 
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir, "doc_id", "text"))
 
 
-def _signatures(words: str) -> str:
-    """SQL for the signatures of a list of words."""
-    common = "[" + ", ".join(f"'{w}'" for w in COMMON) + "]"
-    found = f"""list_sort(list_distinct(list_filter(list_transform(range(1, len({words}) + 1), lambda i:
-      CASE WHEN list_contains({common}, {words}[i])
-            AND len(list_filter({words}[i+1:i+{REACH}], lambda x: NOT list_contains({common}, x))) >= {CHAIN}
-           THEN substr(md5(array_to_string(list_concat([{words}[i]],
-                list_filter({words}[i+1:i+{REACH}], lambda x: NOT list_contains({common}, x))[1:{CHAIN}]), ' ')), 1, 8) END),
-      lambda s: s IS NOT NULL)))"""
-    return f"CASE WHEN len({found}) = 0 AND len({words}) > 0 THEN [substr(md5(array_to_string({words}, ' ')), 1, 8)] ELSE {found} END"
+def _sets(name: str, words: str) -> str:
+    """SQL for a table of doc_id and its signatures s, from the column of word lists `words` of the table words.
+
+    Content words are numbered within a text; an anchor's chain has the numbers
+    after that of the last content word before it.
+    """
+    common = "(" + ", ".join(f"'{w}'" for w in COMMON) + ")"
+    return f"""
+{name}_w AS (SELECT doc_id, unnest({words}) AS w, unnest(range(1, len({words}) + 1)) AS k FROM words),
+{name}_c AS (SELECT doc_id, k, w, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS r FROM {name}_w WHERE w NOT IN {common}),
+{name}_a AS (
+  SELECT doc_id, w, r FROM (
+    SELECT doc_id, w, w IN {common} AS anchor, sum(CASE WHEN w IN {common} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS r FROM {name}_w)
+  WHERE anchor),
+{name}_s AS (
+  SELECT a.doc_id, list_sort(list_distinct(list(substr(md5(a.w || ' ' || x.w || ' ' || y.w), 1, 8)))) AS s
+  FROM {name}_a a JOIN {name}_c x ON x.doc_id = a.doc_id AND x.r = a.r + 1 JOIN {name}_c y ON y.doc_id = a.doc_id AND y.r = a.r + 2 GROUP BY a.doc_id),
+{name} AS (
+  SELECT doc_id, CASE WHEN f.s IS NOT NULL THEN f.s WHEN len({words}) > 0 THEN [substr(md5(array_to_string({words}, ' ')), 1, 8)] ELSE [] END AS s
+  FROM words LEFT JOIN {name}_s f USING (doc_id))"""
 
 
 def _words(text: str) -> str:
@@ -44,9 +54,9 @@ edits AS (
   SELECT s.*, substr(s.text, 1, (n - n // 2)::BIGINT) || substr(t.text, 1, (n // 2)::BIGINT) AS edited
   FROM sequence s JOIN texts t ON t.doc_id = s.next_id),
 words AS (SELECT doc_id, next_id, n, edited, {_words('text')} AS w, {_words('edited')} AS e FROM edits),
-sets AS (SELECT doc_id, next_id, n, edited, {_signatures('w')} AS s, {_signatures('e')} AS c FROM words)
-SELECT a.doc_id, a.n AS n_chars, sha256(a.edited) AS edited_sha256, array_to_string(a.s, '') AS fingerprint,
-       array_to_string(a.c, '') AS edited_fingerprint,
-       {_likeness('a.s', 'a.c')} AS near_edited, {_likeness('a.s', 'b.s')} AS near_next
-FROM sets a JOIN sets b ON b.doc_id = a.next_id"""
+{_sets('own', 'w')}, {_sets('changed', 'e')}
+SELECT t.doc_id, t.n AS n_chars, sha256(t.edited) AS edited_sha256, array_to_string(a.s, '') AS fingerprint,
+       array_to_string(c.s, '') AS edited_fingerprint,
+       {_likeness('a.s', 'c.s')} AS near_edited, {_likeness('a.s', 'b.s')} AS near_next
+FROM words t JOIN own a ON a.doc_id = t.doc_id JOIN changed c ON c.doc_id = t.doc_id JOIN own b ON b.doc_id = t.next_id"""
 }

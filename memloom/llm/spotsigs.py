@@ -1,18 +1,24 @@
 """SpotSigs fingerprints, in DataFrame functions only.
 
-Method. At each common word (an anchor) the next CHAIN content words, those that
-are not common, form a signature with it; the anchor's reach is REACH words. A
-text's fingerprint is its sorted set of signatures, as 8 hexadecimal digits
+Method. At each common word (an anchor) the next two content words, those that
+are not common, form a signature with it, however far away they are. A text's
+fingerprint is its sorted set of signatures, as 8 hexadecimal digits
 each. Sets are compared by Jaccard similarity. To find similar texts, sets are
 partitioned by length so that only neighbouring lengths can meet, and candidates
 are taken from the rarest signatures of each set: two sets with a similarity of
 t share one among the first n - ceil(t * n) + 1 of either. Sets that are equal
 are one class, so that copies do not meet pair by pair.
 
+Signatures come from three regular expressions over the whole text: one makes
+words of it, one marks the common ones, and one writes each anchor's chain, whose
+look-ahead skips anchors in a possessive loop; no word is handled on its own.
+
 Defined cases. A null text is empty. A text without any signature but with words
 has one signature, of all its words; a text without words has the empty
 fingerprint. Two empty fingerprints have a likeness of 1. Rows with equal ids
-are ordered by a hash of their text; a row with a null id has no next text.
+are ordered by a hash of their text; a row with a null id has no next text. An
+empty table gives no rows, a single row is its own next. Very long texts are read
+whole. Further columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -22,7 +28,6 @@ from pyspark.sql import functions as F
 
 from memloom.llm.shared import cut
 
-CHAIN, REACH = 2, 12
 #: Ids that a block of neighbouring documents spans hold about so many documents.
 BLOCK = 256
 #: A list of at most so many blocks (two numbers each) is broadcast.
@@ -36,20 +41,27 @@ COMMON = tuple(
 )
 
 
+#: One word, of which an anchor's begins with a mark that no word holds.
+MARK = "\x01"
+COMMON_WORD = rf"(?<=\x20)(?=(?:{'|'.join(COMMON)})\x20)"
+CHAIN = (
+    rf"[^{MARK}]*+{MARK}([^\x20]++)(?=(?:\x20{MARK}[^\x20]++)*+\x20([^{MARK}\x20]++)(?:\x20{MARK}[^\x20]++)*+\x20([^{MARK}\x20]++))"
+)
+
+
 def signatures(text: Column) -> Column:
     """The sorted set of a text's signatures."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
-    def of(all_words: Column) -> Column:
-        def at(word: Column, k: Column) -> Column:
-            content = F.slice(F.filter(F.slice(all_words, k + 2, F.lit(REACH)), lambda x: ~x.isin(*COMMON)), 1, CHAIN)
-            chain = F.concat_ws(" ", word, content)
-            return F.when(word.isin(*COMMON) & (F.size(content) == CHAIN), F.substring(F.md5(chain.cast("binary")), 1, 8))
+    def hashed(chain: Column) -> Column:
+        return F.substring(F.md5(chain.cast("binary")), 1, 8)
 
-        found = F.array_sort(F.array_distinct(F.filter(F.transform(all_words, at), lambda s: s.isNotNull())))
-        whole = F.array(F.substring(F.md5(F.array_join(all_words, " ").cast("binary")), 1, 8))
-        return F.when((F.size(found) == 0) & (F.size(all_words) > 0), whole).otherwise(found)
+    def of(words: Column) -> Column:
+        """words: each with a blank before and one after the last; only a blank if there is none."""
+        chains = F.split(F.regexp_replace(F.regexp_replace(words, COMMON_WORD, MARK), CHAIN, "$1 $2 $3\n"), "\n")
+        found = F.array_sort(F.array_distinct(F.transform(F.slice(chains, 1, F.size(chains) - 1), hashed)))
+        return F.when((F.size(found) == 0) & (F.length(words) > 1), F.array(hashed(F.trim(words)))).otherwise(found)
 
+    words = F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), r"[^\p{L}\p{N}]++", " ")
     # One pass of transform binds the words once, whatever the number of uses.
     return F.element_at(F.transform(F.array(words), of), 1)
 
