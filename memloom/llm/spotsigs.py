@@ -11,7 +11,8 @@ are one class, so that copies do not meet pair by pair.
 
 Signatures come from three regular expressions over the whole text: one makes
 words of it, one marks the common ones, and one writes each anchor's chain, whose
-look-ahead skips anchors in a possessive loop; no word is handled on its own.
+look-ahead skips anchors in a possessive loop; no word is handled on its own, and
+each match begins where the last one ended, so the time is linear.
 
 Defined cases. A null text is empty. A text without any signature but with words
 has one signature, of all its words; a text without words has the empty
@@ -45,7 +46,7 @@ COMMON = tuple(
 MARK = "\x01"
 COMMON_WORD = rf"(?<=\x20)(?=(?:{'|'.join(COMMON)})\x20)"
 CHAIN = (
-    rf"[^{MARK}]*+{MARK}([^\x20]++)(?=(?:\x20{MARK}[^\x20]++)*+\x20([^{MARK}\x20]++)(?:\x20{MARK}[^\x20]++)*+\x20([^{MARK}\x20]++))"
+    rf"\G[^{MARK}]*+{MARK}([^\x20]++)(?=(?:\x20{MARK}[^\x20]++)*+\x20([^{MARK}\x20]++)(?:\x20{MARK}[^\x20]++)*+\x20([^{MARK}\x20]++))"
 )
 
 
