@@ -10,11 +10,13 @@ MOST_IN_BLOCK = 60
 #: A decision compares all keys of a block; a block's keys are dealt in shares of about this many.
 SHARE = 1000
 AUTO, REVIEW = 0.90, 0.85
-# Leading articles, legal forms of organisations, titles and suffixes of persons.
+# Leading determiners, legal forms of organisations, titles and suffixes of persons, and the types they belong to.
 ARTICLES = ("the", "a", "an")
-LEGAL_FORMS = ("inc", "incorporated", "corp", "corporation", "co", "company", "llc", "ltd", "limited", "plc", "gmbh", "ag", "sa")
-TITLES = ("mr", "mrs", "ms", "dr", "prof", "sir")
-SUFFIXES = ("jr", "sr", "ii", "iii", "phd", "md")
+LEGAL_FORMS = ("inc", "corp", "corporation", "llc", "ltd", "limited", "plc", "gmbh", "co", "company", "ag", "sa", "srl", "pty", "nv", "bv", "oy", "ab")
+TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "sir")
+SUFFIXES = ("jr", "sr", "ii", "iii", "iv")
+ORGANISATIONS = ("ORGANIZATION", "ORG", "COMPANY")
+PERSONS = ("PERSON", "USER")
 #: Weights of the parts of a blended score.
 PARTS = {"fuzzy": 0.45, "vector": 0.40, "context": 0.15}
 
@@ -25,15 +27,22 @@ def tokens(name: Column) -> Column:
 
 
 def name_key(name: Column, kind: Column) -> Column:
-    """A name without article, legal form, title or suffix, by its type; all its words if nothing else is left."""
-    words = tokens(name)
+    """A name's words without leading determiners and, by its type, trailing legal forms, or leading titles and trailing suffixes.
 
-    def without(ws: Column, some: tuple[str, ...]) -> Column:
-        return F.filter(ws, lambda w: ~w.isin(*some))
+    The last word always stays; a name without any word is its own key. Unicode
+    forms are not normalised: Spark has no function for that.
+    """
+
+    def leading(text: Column, some: tuple[str, ...]) -> Column:
+        return F.regexp_replace(text, rf"^(?:(?:{'|'.join(some)})\x20)+", "")
+
+    def trailing(text: Column, some: tuple[str, ...]) -> Column:
+        return F.regexp_replace(text, rf"(?:\x20(?:{'|'.join(some)}))+$", "")
 
-    bare = F.when(F.element_at(F.concat(words, F.array(F.lit(""))), 1).isin(*ARTICLES), F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))).otherwise(words)
-    typed = F.when(kind == "ORGANIZATION", without(bare, LEGAL_FORMS)).when(kind == "PERSON", without(bare, TITLES + SUFFIXES)).otherwise(bare)
-    return F.array_join(F.when(F.size(typed) > 0, typed).otherwise(words), " ")
+    words = leading(F.array_join(tokens(name), " "), ARTICLES)
+    kind = F.upper(kind)
+    typed = F.when(kind.isin(*ORGANISATIONS), trailing(words, LEGAL_FORMS)).when(kind.isin(*PERSONS), trailing(leading(words, TITLES), SUFFIXES)).otherwise(words)
+    return F.when(words != "", typed).otherwise(F.trim(F.regexp_replace(F.lower(name), r"\s+", " ")))
 
 
 def initials(key: Column) -> Column:
@@ -41,8 +50,8 @@ def initials(key: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of a text's letters, in bits."""
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    """Shannon entropy of a text's letters other than blanks, in bits."""
+    letters = F.filter(F.split(F.replace(text, F.lit(" ")), ""), lambda c: c != "")
     n = F.size(letters)
     share = F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c)) / n)
     return F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p))

@@ -37,7 +37,13 @@ KEYED = """WITH e AS (SELECT p_partkey AS id, trim(regexp_replace(lower(p_name),
   ok AS (SELECT block FROM eb GROUP BY block HAVING count(*) <= 60),
   p AS (SELECT DISTINCT mb.id AS mention, eb.id AS entity FROM mb JOIN ok USING (block) JOIN eb USING (block))"""
 
+_CASES = (
+    ("Co Op Bank Ltd", "ORG"), ("Dr. Ada Lovelace Jr.", "PERSON"), ("Henry Tudor IV", "USER"), ("John Mr Smith", "PERSON"), ("Sony NV", "COMPANY"),
+    ("The", "ORGANIZATION"), ("The The", "ORGANIZATION"), ("Inc", "ORGANIZATION"), ("!!", "PERSON"), ("AT&T Inc.", "ORGANIZATION"),
+)
+
 QUERIES = {
+    "RS-01_key_cases": lambda s, d: s.createDataFrame(_CASES, "name string, type string").select("name", rs.name_key(F.col("name"), F.col("type")).alias("key")),
     "RS-01_name_keys": lambda s, d: v.entity_observations(s, d).select("seq", rs.name_key(F.col("name"), F.col("type")).alias("key")),
     "RS-01_name_entropy": lambda s, d: v.table(s, d, "nation").select("n_nationkey", F.round(rs.entropy(F.lower("n_name")), 6).alias("bits"), rs.initials(F.lower("n_name")).alias("initials")),
     "RS-02_exact_blocking": lambda s, d: rs.exact_matches(_mentions(s, d), _parts(s, d)),
@@ -48,6 +54,12 @@ QUERIES = {
     "MT-04_b_cubed": lambda s, d: rs.b_cubed(_clusters(s, d)).select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]),
 }
 ORACLES = {
+    "RS-01_name_keys": f"""{v.with_sql('entity_obs')}, w AS (
+        SELECT seq, type, regexp_replace(trim(regexp_replace(lower(name), '[^\\pL\\pN&]+', ' ', 'g')), '^((the|a|an) )+', '') AS k FROM entity_obs)
+      SELECT seq, CASE WHEN type = 'ORGANIZATION' THEN regexp_replace(k, '( ({'|'.join(rs.LEGAL_FORMS)}))+$', '')
+        WHEN type = 'PERSON' THEN regexp_replace(regexp_replace(k, '^(({'|'.join(rs.TITLES)}) )+', ''), '( ({'|'.join(rs.SUFFIXES)}))+$', '') ELSE k END AS key FROM w""",
+    "RS-01_key_cases": """SELECT * FROM (VALUES ('Co Op Bank Ltd', 'co op bank'), ('Dr. Ada Lovelace Jr.', 'ada lovelace'), ('Henry Tudor IV', 'henry tudor'),
+      ('John Mr Smith', 'john mr smith'), ('Sony NV', 'sony'), ('The', 'the'), ('The The', 'the'), ('Inc', 'inc'), ('!!', '!!'), ('AT&T Inc.', 'at&t')) t(name, key)""",
     "RS-02_exact_blocking": f"{KEYED}, k AS (SELECT key, min(id) AS entity FROM e GROUP BY key) SELECT m.id AS mention, entity FROM m JOIN k USING (key)",
     "RS-03_end_word_blocking": f"{KEYED} SELECT * FROM p",
     "RS-09_decisions": f"""{KEYED}, s AS (SELECT mention, CASE WHEN m.key = e.key THEN 1.0::DOUBLE ELSE
@@ -58,7 +70,7 @@ ORACLES = {
       FROM m LEFT JOIN b ON mention = m.id""",
     "RS-11_gazetteer": "SELECT lower(p_name) AS key, min(p_brand) AS canonical FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1",
     "RS-01_name_entropy": """WITH c AS (SELECT n_nationkey, n_name, unnest(string_split(lower(n_name), '')) AS c FROM nation),
-      n AS (SELECT n_nationkey, n_name, c, count(*)::DOUBLE AS n FROM c GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY n_nationkey) AS t FROM n)
+      n AS (SELECT n_nationkey, n_name, c, count(*)::DOUBLE AS n FROM c WHERE c <> ' ' GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY n_nationkey) AS t FROM n)
       SELECT n_nationkey, round(sum(-(n / t) * log2(n / t)), 6) AS bits, upper(array_to_string(list_transform(string_split(any_value(lower(n_name)), ' '), lambda w: w[1]), '')) AS initials
       FROM t GROUP BY n_nationkey""",
     "MT-01_entity_scores": """WITH p AS (SELECT l_returnflag AS type, l_partkey % 200 AS item, count(*) AS p FROM lineitem GROUP BY ALL),
