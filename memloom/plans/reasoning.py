@@ -60,15 +60,15 @@ ORACLES = {
       count(*) FILTER (status IN {FAILED}) AS failed_calls, round(count(*) FILTER (status = 'success') / count(*), 6) AS success_rate,
       round(avg(duration_ms), 4) AS avg_duration_ms, max(ts) AS last_used_at FROM step GROUP BY tool_name""",
     "RE-09_trace_with_steps": f"""{S}, n AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ts, id) AS k FROM step)
-      SELECT trace_id, string_agg(concat_ws(':', k, tool_name, status), ',' ORDER BY k) AS steps FROM n WHERE k <= 1000 GROUP BY trace_id""",
+      SELECT trace_id, string_agg(concat_ws(':', k, tool_name, status), ',' ORDER BY k) AS steps FROM n GROUP BY trace_id""",
     "RE-10_list_traces": f"""{S}, t AS (SELECT trace_id, min(ts) AS started_at, max(ts) AS completed_at, count(*) AS steps,
       count(*) FILTER (status IN {FAILED}) = 0 AS success FROM step GROUP BY trace_id)
       SELECT * FROM t WHERE NOT success AND started_at >= TIMESTAMP '2024-01-01 03:00:00' ORDER BY steps DESC, trace_id LIMIT 20 OFFSET 3""",
-    "RE-12_touched_entities": "SELECT DISTINCT event_id AS step_id, event_id % 1600 + 1 AS entity_id FROM events WHERE event_id % 1600 + 1 <= least(1200, (SELECT max(c_custkey) FROM customer))",
+    "RE-12_touched_entities": "SELECT DISTINCT event_id AS step_id, event_id % 1600 + 1 AS entity_id FROM events WHERE event_id % 1600 + 1 <= (SELECT max(c_custkey) FROM customer)",
     "RE-12_all_edges": """WITH n AS (SELECT event_id, 'Customer#' || lpad(CAST(event_id % ((SELECT max(c_custkey) FROM customer) + 400) + 1 AS VARCHAR), 9, '0') AS name FROM events)
       SELECT DISTINCT event_id AS step_id, name, c_custkey AS known_id FROM n LEFT JOIN customer ON c_name = name""",
     "RE-12_stub_entities": """SELECT DISTINCT 'Customer#' || lpad(CAST(event_id % 1600 + 1 AS VARCHAR), 9, '0') AS name FROM events
-      WHERE event_id % 1600 + 1 > least(1200, (SELECT max(c_custkey) FROM customer))""",
+      WHERE event_id % 1600 + 1 > (SELECT max(c_custkey) FROM customer)""",
     "RE-14_context_text": f"""{S}, n AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ts, id) AS k FROM step)
       SELECT trace_id, string_agg(tool_name, ' > ' ORDER BY k) AS context FROM n WHERE k <= 3 GROUP BY trace_id""",
 }

@@ -62,12 +62,13 @@ ORACLES = {
       ('John Mr Smith', 'john mr smith'), ('Sony NV', 'sony'), ('The', 'the'), ('The The', 'the'), ('Inc', 'inc'), ('!!', '!!'), ('AT&T Inc.', 'at&t')) t(name, key)""",
     "RS-02_exact_blocking": f"{KEYED}, k AS (SELECT key, min(id) AS entity FROM e GROUP BY key) SELECT m.id AS mention, entity FROM m JOIN k USING (key)",
     "RS-03_end_word_blocking": f"{KEYED} SELECT * FROM p",
-    "RS-09_decisions": f"""{KEYED}, s AS (SELECT mention, CASE WHEN m.key = e.key THEN 1.0::DOUBLE ELSE
-        2 * len(list_intersect(string_split(m.key, ' '), string_split(e.key, ' '))) /
-        (len(list_distinct(string_split(m.key, ' '))) + len(list_distinct(string_split(e.key, ' '))))::DOUBLE END AS score
-        FROM p JOIN m ON m.id = mention JOIN e ON e.id = entity), b AS (SELECT mention, max(score) AS score FROM s GROUP BY mention)
+    "RS-09_decisions": f"""{KEYED}, ek AS (SELECT DISTINCT key FROM e), mk AS (SELECT DISTINCT key FROM m),
+      s AS (SELECT mk.key, max(CASE WHEN mk.key = ek.key THEN 1.0::DOUBLE ELSE
+        2 * len(list_intersect(string_split(mk.key, ' '), string_split(ek.key, ' '))) /
+        (len(list_distinct(string_split(mk.key, ' '))) + len(list_distinct(string_split(ek.key, ' '))))::DOUBLE END) AS score
+        FROM mk JOIN ek ON split_part(mk.key, ' ', 1) = split_part(ek.key, ' ', 1) OR split_part(mk.key, ' ', -1) = split_part(ek.key, ' ', -1) GROUP BY mk.key)
       SELECT m.id AS mention, round(score, 6) AS score, CASE WHEN score >= 0.9 THEN 'merged' WHEN score >= 0.85 THEN 'review' ELSE 'created' END AS action
-      FROM m LEFT JOIN b ON mention = m.id""",
+      FROM m LEFT JOIN s ON s.key = m.key""",
     "RS-11_gazetteer": "SELECT lower(p_name) AS key, min(p_brand) AS canonical FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1",
     "RS-01_name_entropy": """WITH c AS (SELECT n_nationkey, n_name, unnest(string_split(lower(n_name), '')) AS c FROM nation),
       n AS (SELECT n_nationkey, n_name, c, count(*)::DOUBLE AS n FROM c WHERE c <> ' ' GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY n_nationkey) AS t FROM n)

@@ -75,7 +75,7 @@ ORACLES = {
     "ST-15_messages_without_mentions": f"{M} SELECT id, conversation_id FROM message WHERE NOT regexp_matches(content, '[0-9]')",
     "ST-16_all_session_messages": f"{M} SELECT id, role, ts FROM message WHERE session_id = 's4'",
     "ST-17_summary_entities": rf"""{M} SELECT name, count(*) AS mentions FROM (
-         SELECT unnest(regexp_extract_all(content, '[\pL\pN_]+')) AS name FROM message WHERE conversation_id < 50)
+         SELECT unnest(regexp_extract_all(content, '[\pL\pN_]+')) AS name FROM message)
        WHERE regexp_full_match(name, '[A-Z][a-z]{{3,}}') GROUP BY name ORDER BY mentions DESC, name LIMIT 10""",
     "ST-18_conversation_summary": f"""{M} SELECT conversation_id, count(*) AS n_messages, count(*) FILTER (role = 'user') AS n_user,
        count(*) FILTER (role = 'assistant') AS n_assistant, substring(arg_min(content, id) FILTER (role = 'user'), 1, 200) AS first_user_message,

@@ -66,7 +66,7 @@ ORACLES = {
     "VEC-08_round_robin": f"""{W}{HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) AS rank FROM h)
       SELECT kind, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r ORDER BY r.rank, kind LIMIT 9""",
     "VEC-10_whole_tool_calls": """WITH m AS (SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN 'assistant' WHEN event_id % 2 = 1 THEN 'tool' ELSE 'user' END AS role
-      FROM events WHERE event_id < 5000),
+      FROM events),
       a AS (SELECT id, unnest([id + 1, id + 2 + id % 3]) AS call_id FROM m WHERE role = 'assistant'),
       broken AS (SELECT DISTINCT id FROM a WHERE call_id NOT IN (SELECT id FROM m WHERE role = 'tool')),
       ok AS (SELECT call_id FROM a WHERE id NOT IN (SELECT id FROM broken))
