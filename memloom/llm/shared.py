@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A cut table of narrow rows has at most so many partitions for each core of the cluster.
+TASKS_A_CORE = 4
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -40,6 +42,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df in at most TASKS_A_CORE partitions for each core, merged without a shuffle.
+
+    All cores stay busy, and chains of small joins write a few files for each
+    core instead of one for each pair of partitions and steps.
+    """
+    return df.coalesce(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def cut_narrow(df: DataFrame) -> DataFrame:
+    """cut() for tables of narrow rows: ids, links, counts."""
+    return cut(merged(df))
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage through a Parquet table of its own in the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
