@@ -54,3 +54,25 @@ def touched(steps: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame
     both = named.join(known, "name", "left")
     stubs = both.filter("entity_id is null").select("name").distinct().select(F.xxhash64("name").alias("id"), "name")
     return both.select("step_id", F.coalesce("entity_id", F.xxhash64("name")).alias("entity_id"), "name"), stubs
+
+
+def tool_counters(calls: DataFrame) -> DataFrame:
+    """By tool: calls, successes, failures and total duration (unknown ones count as 0), the counters that a tool keeps."""
+    return calls.groupBy("tool_name").agg(
+        F.count("*").alias("total_calls"), F.count_if(F.col("status") == "success").alias("successful_calls"),
+        F.count_if(F.col("status").isin(*FAILED)).alias("failed_calls"), F.coalesce(F.sum("duration_ms"), F.lit(0.0)).alias("total_duration_ms"),
+    )
+
+
+def raised_counters(counters: DataFrame, calls: DataFrame) -> DataFrame:
+    """The counters after further calls; calls are counted before anything meets the counters."""
+    both = counters.unionByName(tool_counters(calls))
+    return both.groupBy("tool_name").agg(*[F.sum(c).alias(c) for c in ("total_calls", "successful_calls", "failed_calls", "total_duration_ms")])
+
+
+def stats_of_counters(counters: DataFrame) -> DataFrame:
+    """By tool: calls, the rate of successes and the mean duration, from its counters alone."""
+    n = F.col("total_calls")
+    return counters.filter(n > 0).select(
+        "tool_name", "total_calls", F.round(F.col("successful_calls") / n, 6).alias("success_rate"), F.round(F.col("total_duration_ms") / n, 4).alias("avg_duration_ms"),
+    )
