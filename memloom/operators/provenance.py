@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.sources.shared import cut
+
 EARTH_M = 6371000.0
 
 
@@ -81,13 +83,19 @@ def reviewed(pairs: DataFrame, decisions: DataFrame) -> DataFrame:
     return pairs.join(decisions, ["a", "b"], "left").withColumn("status", F.coalesce(said, "status")).drop("confirmed")
 
 
-def final_targets(merges: DataFrame, rounds: int = 5) -> DataFrame:
-    """merges (source, target) with chains followed to their end, at most 2**rounds long."""
-    now = merges.groupBy("source").agg(F.min("target").alias("target"))
+def final_targets(merges: DataFrame, rounds: int = 40) -> DataFrame:
+    """merges (source, target) with chains of any length followed to their end; a cycle is an error.
+
+    Each round doubles the steps that are followed, so few are needed.
+    """
+    now = cut(merges.groupBy("source").agg(F.min("target").alias("target")))
     for _ in range(rounds):
         further = now.select(F.col("source").alias("target"), F.col("target").alias("_next"))
-        now = now.join(further, "target", "left").select("source", F.coalesce("_next", "target").alias("target"))
-    return now
+        now = cut(now.join(further, "target", "left").select("source", F.coalesce("_next", "target").alias("target"), (F.col("_next") != F.col("target")).alias("moved")))
+        if now.filter("moved").isEmpty():
+            return now.select("source", "target")
+        now = now.select("source", "target")
+    raise ValueError("the merges form a cycle")
 
 
 def rewritten(df: DataFrame, merges: DataFrame, *columns: str) -> DataFrame:

@@ -166,9 +166,9 @@ ORACLES = {
       h AS (SELECT id, content, unnest([{{'kind': 'decision', 'confidence': 0.75::DOUBLE, 'markers': {list(x for x in ob.DECISIONS if "'" not in x)}}},
         {{'kind': 'fact', 'confidence': 0.7::DOUBLE, 'markers': {list(ob.FACTS)}}}]) AS o FROM m),
       f AS (SELECT *, list_filter(o.markers, lambda k: contains(lower(content), k))[1] AS k FROM h),
-      p AS (SELECT *, strpos(lower(content), k) AS at FROM f WHERE k IS NOT NULL),
-      w AS (SELECT id, o.kind AS kind, o.confidence AS confidence, regexp_replace(regexp_extract(substr(content, 1, at - 1), '[^.!?\\n]*$') || substr(content, at, length(k))
-        || regexp_extract(substr(content, at + length(k)), '^[^.!?\\n]*[.!?\\n]?'), '^\\s+|\\s+$', '', 'g') AS said FROM p)
+      p AS (SELECT *, strpos(lower(content), k) AS place FROM f WHERE k IS NOT NULL),
+      w AS (SELECT id, o.kind AS kind, o.confidence AS confidence, regexp_replace(regexp_extract(substr(content, 1, place - 1), '[^.!?\\n]*$') || substr(content, place, length(k))
+        || regexp_extract(substr(content, place + length(k)), '^[^.!?\\n]*[.!?\\n]?'), '^\\s+|\\s+$', '', 'g') AS said FROM p)
       SELECT id, kind, CASE WHEN length(said) > 300 THEN regexp_replace(substr(said, 1, 300), ' [^ ]*$', '') || '...' ELSE said END AS content, confidence FROM w WHERE length(said) > 10""",
     "RE-03_raised_counters": f"{v.with_sql('step')} {_COUNTERS}",
     "RE-04_tool_stats_of_counters": f"""{v.with_sql('step')} SELECT tool_name, count(*) AS total_calls, round(count(*) FILTER (status = 'success') / count(*), 6) AS success_rate,

@@ -82,7 +82,7 @@ QUERIES = {
         v.entity_observations(s, d).filter("type = 'LOCATION'").select(F.col("seq").alias("id"), F.array("name").alias("aliases")),
         v.entity_observations(s, d).filter("type = 'LOCATION'").select(F.col("seq").alias("id"), F.explode(F.array(F.lower("name"), "name")).alias("alias")),
     ).select("id", F.array_join("aliases", "|").alias("aliases")),
-    "LT-22_latest_relation_of_source": lambda s, d: latest(v.relation_observations(s, d), ["source"], [F.desc("seq")]).select("source", "target", "seq"),
+    "LT-16_latest_relation_of_source": lambda s, d: latest(v.relation_observations(s, d), ["source"], [F.desc("seq")]).select("source", "target", "seq"),
 }
 
 ORACLES = {
@@ -120,5 +120,5 @@ ORACLES = {
     "LT-20_first_link": f"{R} SELECT source, evidence, min(seq) AS seq FROM relation_obs GROUP BY source, evidence",
     "LT-24_add_aliases": f"""{E} SELECT seq AS id, array_to_string(list_sort(list_distinct([name, lower(name)])), '|') AS aliases
       FROM entity_obs WHERE type = 'LOCATION'""",
-    "LT-22_latest_relation_of_source": f"{R} SELECT source, arg_max(target, seq) AS target, max(seq) AS seq FROM relation_obs GROUP BY source",
+    "LT-16_latest_relation_of_source": f"{R} SELECT source, arg_max(target, seq) AS target, max(seq) AS seq FROM relation_obs GROUP BY source",
 }
