@@ -130,3 +130,13 @@ def test_touched_edges_and_neighbours_are_whole(spark):
     assert any(r[2] is None for r in every) and any((r[2] or 0) > 1200 for r in every)
     edges = sum(len(table(t).fetchall()) for t in ("customer", "supplier", "nation"))
     assert queries["LT-19_all_neighbours"](spark, SF).count() == 2 * edges
+
+
+def test_merge_chains_of_any_length(spark):
+    from memloom.operators.provenance import final_targets
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(70)], "source long, target long")
+    assert {(r.source, r.target) for r in final_targets(chain).collect()} == {(i, 70) for i in range(70)}
+    ring = spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "source long, target long")
+    with pytest.raises(ValueError, match="cycle"):
+        final_targets(ring, rounds=4)
