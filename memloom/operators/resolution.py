@@ -123,20 +123,28 @@ def _decided(found: DataFrame) -> DataFrame:
     return found.select("mention", F.when(action != "created", -F.col("b.e")).alias("entity"), F.round(score, 6).alias("score"), action.alias("action"))
 
 
-def resolved(mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """The decisions over all entities that share type and first or last word, whatever the size of their block.
+def key_pairs(asked: DataFrame, entities: DataFrame) -> DataFrame:
+    """type, key, other and entity: the asked keys (type, key) with all keys of entities that share type and first or last word.
 
-    Scores depend on keys alone, so distinct keys are compared, each with the
-    least id of its entities; a block with many of them is dealt in shares of
-    about SHARE, so no task holds it whole. Equal keys share both words.
+    Each key stands with the least id of its entities; a block with many of
+    them is dealt in shares of about SHARE, so no task holds it whole. A pair that shares both words comes twice.
     """
     known = entities.filter(F.col("key").isNotNull()).groupBy("type", "key").agg(F.min("id").alias("entity"))
     blocks = _ends(known, "key", "entity")
     sizes = blocks.groupBy("type", "block").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    dealt = blocks.join(sizes, ["type", "block"]).select("type", "block", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int").alias("share"), F.col("key").alias("_b"), "entity")
-    asked = _ends(mentions.select("type", "key").distinct(), "key").join(sizes, ["type", "block"])
-    asked = asked.select("type", "block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("key").alias("_a"))
-    scored = asked.join(dealt, ["type", "block", "share"]).select("type", F.col("_a").alias("key"), "entity", _score(F.col("_a"), F.col("_b")).alias("score"))
+    dealt = blocks.join(sizes, ["type", "block"]).select("type", "block", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int").alias("share"), F.col("key").alias("other"), "entity")
+    asked = _ends(asked, "key").join(sizes, ["type", "block"])
+    asked = asked.select("type", "block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "key")
+    return asked.join(dealt, ["type", "block", "share"]).select("type", "key", "other", "entity")
+
+
+def resolved(mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """The decisions over all entities that share type and first or last word, whatever the size of their block.
+
+    Scores depend on keys alone, so distinct keys are compared. Equal keys share both words.
+    """
+    pairs = key_pairs(mentions.select("type", "key").distinct(), entities)
+    scored = pairs.select("type", "key", "entity", _score(F.col("key"), F.col("other")).alias("score"))
     best = scored.groupBy("type", "key").agg(F.max(F.struct("score", (-F.col("entity")).alias("e"))).alias("b"))
     return _decided(mentions.select(F.col("id").alias("mention"), "type", "key").join(best, ["type", "key"], "left"))
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.plans import extraction, graph, longterm, mining, provenance, reasoning, resolution, shortterm, streams, upkeep, vectors
+from memloom.plans import cascade, extraction, graph, longterm, mining, provenance, reasoning, resolution, shortterm, streams, upkeep, vectors
 
-_MODULES = (shortterm, longterm, provenance, reasoning, vectors, graph, resolution, extraction, mining, upkeep, streams)
+_MODULES = (shortterm, longterm, provenance, reasoning, vectors, graph, resolution, cascade, extraction, mining, upkeep, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
