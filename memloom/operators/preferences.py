@@ -40,9 +40,10 @@ LEAST, LONG = 10, 200
 def category(sentence: Column) -> Column:
     """The category with most words in a sentence; general without any."""
     low = F.lower(sentence)
-    hits = [sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)) for words in CATEGORIES.values()]
-    most = F.greatest(*hits)
-    return F.when(most > 0, F.coalesce(*[F.when(n == most, F.lit(c)) for c, n in zip(CATEGORIES, hits)])).otherwise("general")
+    kinds = F.array(*[F.struct(F.lit(-i).alias("place"), F.lit(c).alias("name"), F.array(*map(F.lit, words)).alias("words")) for i, (c, words) in enumerate(CATEGORIES.items())])
+    hits = F.transform(kinds, lambda k: F.struct(F.size(F.filter(k["words"], lambda w: F.contains(low, w))).alias("n"), k["place"].alias("place"), k["name"].alias("name")))
+    none = F.struct(F.lit(0).alias("n"), F.lit(1).alias("place"), F.lit("general").alias("name"))
+    return F.array_max(F.array_append(hits, none))["name"]
 
 
 def subject(found: Column) -> Column:
