@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
-from memloom.llm import queries_bpe, queries_labels, queries_mix, queries_neardup, queries_pii, queries_secrets, queries_spotsigs, queries_topk, queries_wordpiece
+from memloom.llm import (
+    queries_bpe,
+    queries_clusters,
+    queries_labels,
+    queries_mix,
+    queries_neardup,
+    queries_packing,
+    queries_pii,
+    queries_secrets,
+    queries_spotsigs,
+    queries_topk,
+    queries_whitening,
+    queries_wordpiece,
+)
 
-_MODULES = (queries_bpe, queries_mix, queries_wordpiece, queries_neardup, queries_labels, queries_pii, queries_secrets, queries_spotsigs, queries_topk)
+_MODULES = (
+    queries_bpe, queries_mix, queries_wordpiece, queries_neardup, queries_labels, queries_pii, queries_secrets, queries_spotsigs, queries_topk,
+    queries_packing, queries_clusters, queries_whitening,
+)
 
 
 def queries() -> dict:

@@ -63,6 +63,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, in buckets by `key`: later joins by it do not shuffle this side."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def is_training(doc_id: str = "doc_id") -> "F.Column":
     """Rows from which labels may be learnt: crc32 of the id as text, mod 3, is not 1."""
     return F.crc32(F.col(doc_id).cast("string")) % 3 != 1
