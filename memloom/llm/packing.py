@@ -53,7 +53,7 @@ from memloom.llm.tokenlines import line_encoder
 #: Partitions of the packing, a power of two.
 SHARDS = 16
 #: Texts are encoded in runs of about so many bytes.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 6 << 20
 #: Vocabulary files over this many bytes are refused: they are broadcast.
 VOCABULARY_BYTES = 64 << 20
 SLOT = "node int, length int, first long, count long, base long, each int, at int"
