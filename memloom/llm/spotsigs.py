@@ -10,9 +10,10 @@ t share one among the first n - ceil(t * n) + 1 of either. Sets that are equal
 are one class, so that copies do not meet pair by pair.
 
 Signatures come from three regular expressions over the whole text: one makes
-words of it, one marks the common ones, and one writes each anchor's chain, whose
-look-ahead skips anchors in a possessive loop; no word is handled on its own, and
-each match begins where the last one ended, so the time is linear.
+words of it, one marks the common ones, and one takes each run of anchors with
+the content word after it, looking ahead over the next run for the second. A
+match begins where the last one ended, so a run is read twice at most, and the time is
+linear, however long the runs are. All anchors of a run have the same two content words.
 
 Defined cases. A null text is empty. A text without any signature but with words
 has one signature, of all its words; a text without words has the empty
@@ -24,6 +25,8 @@ whole. Further columns, whatever their names, take no part.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +34,8 @@ from memloom.llm.shared import cut
 
 #: Ids that a block of neighbouring documents spans hold about so many documents.
 BLOCK = 256
-#: A list of at most so many blocks (two numbers each) is broadcast.
-MOST_SENT = 200_000
+#: There are at most FANOUT**2 blocks: an id finds its block in two steps of at most so many comparisons.
+FANOUT = 256
 # The common words of four languages.
 COMMON = tuple(
     "the of and to in that is was for it with as be on by at this are from or an a he not his but have "
@@ -45,9 +48,7 @@ COMMON = tuple(
 #: One word, of which an anchor's begins with a mark that no word holds.
 MARK = "\x01"
 COMMON_WORD = rf"(?<=\x20)(?=(?:{'|'.join(COMMON)})\x20)"
-CHAIN = (
-    rf"\G[^{MARK}]*+{MARK}([^\x20]++)(?=(?:\x20{MARK}[^\x20]++)*+\x20([^{MARK}\x20]++)(?:\x20{MARK}[^\x20]++)*+\x20([^{MARK}\x20]++))"
-)
+RUN = rf"\G[^{MARK}]*+((?:{MARK}[^\x20]++\x20)++)([^{MARK}\x20]++)(?=(?:\x20{MARK}[^\x20]++)*+\x20([^{MARK}\x20]++))"
 
 
 def signatures(text: Column) -> Column:
@@ -56,10 +57,20 @@ def signatures(text: Column) -> Column:
     def hashed(chain: Column) -> Column:
         return F.substring(F.md5(chain.cast("binary")), 1, 8)
 
+    def chains_of(run: Column) -> Column:
+        """Each anchor of a run with the two content words after it: they follow a double blank."""
+
+        def joined(parts: Column) -> Column:
+            anchors = F.split(F.substring(F.get(parts, 0), 2, 1 << 30), f" {MARK}")
+            return F.transform(anchors, lambda a: F.concat_ws(" ", a, F.get(parts, 1)))
+
+        return F.element_at(F.transform(F.array(F.split(run, "  ")), joined), 1)  # splits once, not for each anchor
+
     def of(words: Column) -> Column:
         """words: each with a blank before and one after the last; only a blank if there is none."""
-        chains = F.split(F.regexp_replace(F.regexp_replace(words, COMMON_WORD, MARK), CHAIN, "$1 $2 $3\n"), "\n")
-        found = F.array_sort(F.array_distinct(F.transform(F.slice(chains, 1, F.size(chains) - 1), hashed)))
+        runs = F.split(F.regexp_replace(F.regexp_replace(words, COMMON_WORD, MARK), RUN, "$1 $2 $3\n"), "\n")
+        chains = F.flatten(F.transform(F.slice(runs, 1, F.size(runs) - 1), chains_of))
+        found = F.array_sort(F.array_distinct(F.transform(chains, hashed)))
         return F.when((F.size(found) == 0) & (F.length(words) > 1), F.array(hashed(F.trim(words)))).otherwise(found)
 
     words = F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), r"[^\p{L}\p{N}]++", " ")
@@ -80,26 +91,36 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, id_col: str, carried: tuple[str, ...], made: dict[str, Column]) -> DataFrame:
     """docs with the columns `made`, and next_<c> for each c of carried: the row's successor by id; the first row follows the last.
 
-    Blocks of neighbouring ids are sorted on their own. Each block also gets a
-    copy of the first row of the block after it, found from the ids alone, so
-    every row is shuffled once; `made` is computed after that shuffle. Only the
-    list of blocks is sorted in one task. Up to MOST_SENT blocks, which their
-    count shows, that list is broadcast; beyond, it is joined by a shuffle.
+    Blocks of neighbouring ids, between quantiles of the ids, are sorted on their
+    own, so that a block holds about as many rows as any other, wherever the ids are
+    dense. Each block also gets a copy of the first row of the block after it, found
+    from the ids alone, so every row is shuffled once; `made` is computed after that
+    shuffle. Only the list of blocks, at most FANOUT**2 rows, is sorted in one
+    task and broadcast.
     """
     known = docs.filter(F.col(id_col).isNotNull())
-    tenths = [k / 10 for k in range(11)]
-    stats = known.select(id_col).agg(F.count("*").alias("n"), F.percentile_approx(id_col, tenths).alias("p")).first()
-    gaps = [b - a for a, b in zip(stats["p"] or [], (stats["p"] or [])[1:]) if b > a]
-    rows_a_block = max(BLOCK, stats["n"] // (MOST_SENT // 4))
-    width = max(1, int(min(gaps, default=1) * rows_a_block * 10 / max(1, stats["n"])))
-    block = F.floor(F.col(id_col) / F.lit(width))
+    n = known.select(id_col).count()
+    number = min(FANOUT**2, max(1, n // BLOCK))
+    within = F.percentile_approx(id_col, [k / number for k in range(1, number)] or [0.5], max(10_000, 4 * number))
+    ends = sorted(set(known.agg(within.alias("p")).first()["p"] or []))
+    groups = [ends[k : k + FANOUT] for k in range(0, len(ends), FANOUT)] or [[0]]
+
+    def constant(value: list, kind: str) -> Column:
+        return F.from_json(F.lit(json.dumps(value)), kind)
+
+    def passed(ends: Column) -> Column:
+        """How many of these ends are not above the id."""
+        return F.size(F.filter(ends, lambda e: e <= F.col(id_col).cast("long")))
+
+    group = passed(constant([g[0] for g in groups], "array<bigint>"))
+    inside = passed(F.element_at(constant(groups, "array<array<bigint>>"), F.greatest(group, F.lit(1))))
+    block = (group * (FANOUT + 1) + inside).cast("long")
     order = Window.orderBy("_block")
     everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = known.groupBy(block.alias("_block")).agg(F.min(id_col).alias(id_col))
     firsts = cut(firsts.select(id_col, F.coalesce(F.lag("_block").over(order), F.max("_block").over(everything)).alias("_block")))
-    sent = F.broadcast(firsts) if firsts.count() <= MOST_SENT else firsts
     rows = known.withColumns({"_block": block, "_copy": F.lit(0)})
-    copies = known.join(sent, id_col).withColumn("_copy", F.lit(1)).select(*rows.columns)
+    copies = known.join(F.broadcast(firsts), id_col).withColumn("_copy", F.lit(1)).select(*rows.columns)
     dealt = rows.unionAll(copies).repartition(F.col("_block")).withColumns(made)
     place = Window.partitionBy("_block").orderBy("_copy", id_col, F.xxhash64(*docs.columns))
     nexts = {f"next_{c}": F.lead(c).over(place) for c in carried}
