@@ -44,6 +44,14 @@ SQL = {
     "place": """
   SELECT n_nationkey AS id, n_name AS name, -60 + (n_nationkey * 37 % 120)::DOUBLE AS latitude, -170 + (n_nationkey * 53 % 340)::DOUBLE AS longitude
   FROM nation""",
+    "noted": """
+  SELECT m.* REPLACE (m.content || CASE WHEN (m.conversation_id * 8 + m.turn) % 3 = 0 THEN '' ELSE
+           ' Asked about ' || coalesce(p_name, '') || ' for ' || coalesce(c_name, '') || ' in ' || coalesce(n_name, '') || '.' END AS content)
+  FROM message m LEFT JOIN part ON p_partkey = (m.conversation_id * 8 + m.turn) * 31 % 64
+  LEFT JOIN customer ON c_custkey = (m.conversation_id * 8 + m.turn) * 17 % 100 LEFT JOIN nation ON n_nationkey = (m.conversation_id * 8 + m.turn) % 25""",
+    "entity": """
+  SELECT min(seq) AS id, name, type, min(subtype) AS subtype, CASE WHEN type = 'OBJECT' THEN [split_part(name, ' ', 2)] WHEN min(subtype) = 'REGION' THEN [name || ' area'] ELSE [] END AS aliases
+  FROM entity_obs GROUP BY name, type""",
 }
 
 
@@ -94,6 +102,24 @@ def entity_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, name, type, subtype, aliases: the observed entities, each (name, type) once. An object's second word is an alias that others share."""
+    second = F.when(F.col("type") == "OBJECT", F.array(F.coalesce(F.get(F.split("name", " "), F.lit(1)), F.lit(""))))
+    aliases = F.coalesce(second, F.when(F.col("subtype") == "REGION", F.array(F.concat("name", F.lit(" area")))), F.array().cast("array<string>"))
+    once = entity_observations(spark, sf_dir).groupBy("name", "type").agg(F.min("seq").alias("id"), F.min("subtype").alias("subtype"))
+    return once.select("id", "name", "type", "subtype", aliases.alias("aliases"))
+
+
+def noted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of which two in three end in a note that names a part, a customer and a nation."""
+    m = messages(spark, sf_dir).withColumn("_k", F.col("conversation_id") * 8 + F.col("turn"))
+    out = m
+    for name, key, label, place in (("part", "p_partkey", "p_name", F.col("_k") * 31 % 64), ("customer", "c_custkey", "c_name", F.col("_k") * 17 % 100), ("nation", "n_nationkey", "n_name", F.col("_k") % 25)):
+        out = out.join(table(spark, sf_dir, name).select(F.col(key).cast("long").alias("_key"), label), place == F.col("_key"), "left").drop("_key")
+    said = F.concat(F.lit(" Asked about "), F.coalesce("p_name", F.lit("")), F.lit(" for "), F.coalesce("c_name", F.lit("")), F.lit(" in "), F.coalesce("n_name", F.lit("")), F.lit("."))
+    return out.withColumn("content", F.concat("content", F.when(F.col("_k") % 3 == 0, "").otherwise(said))).select(*[c for c in m.columns if c != "_k"])
+
+
 def relation_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, type, target, confidence, derived, message_id, evidence, seq."""
     return table(spark, sf_dir, "lineitem").select(
