@@ -8,7 +8,7 @@ that belongs to several entities matches, but names none of them: it links nothi
 Two ways give the same rows. Up to SENT_CHARS of forms, which are summed before, a word
 trie is sent to all tasks, and each text is walked once. Beyond, forms are
 joined: the words of the texts meet the first words of forms, and what follows
-meets the whole forms; then the leftmost longest are taken text by text.
+meets the whole forms; then the leftmost longest are taken among each text's matches.
 """
 
 from __future__ import annotations
@@ -85,7 +85,8 @@ def _joined(messages: DataFrame, known: DataFrame, most: int) -> DataFrame:
     """The same by joins: words with first words, then phrases with forms of at most `most` words, then a fold over each text's matches."""
     starts = known.select(F.split("form", " ")[0].alias("word"), F.col("n_words").alias("n")).distinct()
     pieces = F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(rf"{WORD}|(?:(?!{WORD})[\s\S])+"), F.lit(0))
-    rows = messages.filter("id is not null").select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("message_id"), F.posexplode(pieces).alias("k", "p"))
+    numbered = messages.filter("id is not null").withColumn("row", F.monotonically_increasing_id())
+    rows = numbered.select("row", F.col("id").alias("message_id"), F.posexplode(pieces).alias("k", "p"))
     order = Window.partitionBy("row").orderBy("k")
     at = rows.withColumns({
         "start": F.coalesce(F.sum(F.length("p")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"),
@@ -97,65 +98,18 @@ def _joined(messages: DataFrame, known: DataFrame, most: int) -> DataFrame:
     met = near.select("row", "message_id", "start", (F.col("start") + F.length(F.array_join(parts, ""))).alias("end"), phrase.alias("form"))
     found = met.join(known.select("form").distinct(), "form", "left_semi")
     longest = found.groupBy("row", "message_id", "start").agg(F.max(F.struct("end", "form")).alias("x")).select("row", "message_id", "start", "x.end", "x.form")
-    listed = longest.groupBy("row", "message_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "form"))).alias("all"))  # of one text
-    none = F.struct(F.lit(0).alias("upto"), F.filter("all", lambda x: F.lit(False)).alias("kept"))
-    taken = F.aggregate("all", none, lambda s, x: F.when(x["start"] >= s["upto"], F.struct(x["end"].alias("upto"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s))
-    return listed.select("message_id", F.explode(taken["kept"]).alias("x")).select("message_id", "x.start", "x.end", "x.form")
-
-
-def spans(self, text: str) -> Iterator[tuple[int, int, str]]:
-        found = [(m.start(), m.end(), m[0].lower()) for m in self.words.finditer(text)]
-        k = 0
-        while k < len(found):
-            node, best, j = self.root.get(found[k][2]), None, k
-            while node is not None:
-                if "" in node:
-                    best = (j, node[""])
-                j += 1
-                if j >= len(found) or not text[found[j - 1][1] : found[j][0]].isspace():
-                    break
-                node = node.get(found[j][2])
-            if best is not None:
-                yield found[k][0], found[best[0]][1], best[1]
-                k = best[0]
-            k += 1
-
-
-def _walked(messages: DataFrame, known: DataFrame) -> DataFrame:
-    sent = messages.sparkSession.sparkContext.broadcast([r["form"] for r in known.select("form").distinct().collect()])  # at most SENT_CHARS
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = _Trie(sent.value)
-        for b in batches:
-            rows = [(i, *span) for i, text in zip(b["id"], b["content"], strict=True) if text for span in trie.spans(text)]
-            yield pd.DataFrame(rows, columns=["message_id", "start", "end", "form"])
-
-    return messages.filter("id is not null").select("id", "content").mapInPandas(run, SPAN)
-
-
-def _joined(messages: DataFrame, known: DataFrame, most: int) -> DataFrame:
-    """The same by joins: words with first words, then phrases with forms of at most `most` words, then a fold over each text's matches."""
-    starts = known.select(F.split("form", " ")[0].alias("word"), F.col("n_words").alias("n")).distinct()
-    pieces = F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(rf"{WORD}|(?:(?!{WORD})[\s\S])+"), F.lit(0))
-    rows = messages.filter("id is not null").select(F.col("id").alias("message_id"), pieces.alias("p"))
-    ends = F.aggregate("p", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
-    # a word with the pieces that a form beginning there may take, and their places
-    place = F.explode(F.filter(F.sequence(F.lit(1), F.size("p")), lambda k: F.rlike(F.get("p", k - 1), F.lit(f"^{WORD}$"))))
-    at = rows.filter(F.size("p") > 0).withColumn("ends", ends).withColumn("k", place).select(
-        "message_id", F.get("ends", F.col("k") - 1).alias("start"), F.slice("ends", F.col("k") + 1, 2 * most - 1).alias("ends"),
-        F.slice("p", F.col("k"), 2 * most - 1).alias("p"),
-    )
-    near = at.withColumn("word", F.lower(F.get("p", F.lit(0)))).join(starts, "word")
-    parts = F.slice("p", F.lit(1), 2 * F.col("n") - 1)
-    phrase = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 0, F.lower(x)).when(F.rlike(x, F.lit(r"^\s+$")), " ").otherwise("\x01")), "")
-    long_enough = near.filter(F.size("p") >= 2 * F.col("n") - 1)
-    met = long_enough.select("message_id", "start", F.get("ends", 2 * F.col("n") - 2).alias("end"), phrase.alias("form"))
-    found = met.join(known.select("form").distinct(), "form", "left_semi")
-    longest = found.groupBy("message_id", "start").agg(F.max(F.struct("end", "form")).alias("x")).select("message_id", "start", "x.end", "x.form")
-    listed = longest.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "form"))).alias("all"))  # of one text
-    none = F.struct(F.lit(0).alias("upto"), F.filter("all", lambda x: F.lit(False)).alias("kept"))
-    taken = F.aggregate("all", none, lambda s, x: F.when(x["start"] >= s["upto"], F.struct(x["end"].alias("upto"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s))
-    return listed.select("message_id", F.explode(taken["kept"]).alias("x")).select("message_id", "x.start", "x.end", "x.form")
+    return longest.groupBy("row").applyInPandas(_leftmost, SPAN)  # the matches of one text
+
+
+def _leftmost(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a text's matches, each the longest at its start, those that begin where the last one taken has ended, or later."""
+    kept, upto = [], 0
+    rows = rows.sort_values("start")
+    for i, (start, end) in enumerate(zip(rows["start"], rows["end"], strict=True)):
+        if start >= upto:
+            kept.append(i)
+            upto = end
+    return rows.iloc[kept][["message_id", "start", "end", "form"]]
 
 
 def spans(messages: DataFrame, entities: DataFrame, sent_chars: int = SENT_CHARS) -> DataFrame:

@@ -86,8 +86,9 @@ def moved_edges(edges: DataFrame, merges: DataFrame, kind: Kind) -> DataFrame:
             return F.bool_and(c).alias(c)
         if how is None:
             return F.min_by(c, firsts).alias(c)
-        # A list has at most `how` items, and so has the answer: the first rows of a key that hold as many decide.
-        return F.slice(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_from", F.col(c).alias("x")))), lambda s: s["x"]))), 1, how).alias(c)
+        # A list has at most `how` items, and so has the answer; a key has a list for each entity merged into its ends.
+        lists = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("_from", F.col(c).alias("x")))))  # nulls are left out
+        return F.slice(F.array_distinct(F.flatten(F.transform(lists, lambda s: s["x"]))), 1, how).alias(c)
 
     ordered = ranked.withColumn("_from", F.coalesce("_from", F.lit(-(1 << 62))))
     out = ordered.groupBy(*key).agg(*[folded(c) for c in rest], F.min("_from").alias("_from"))
