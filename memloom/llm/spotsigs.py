@@ -25,8 +25,6 @@ whole. Further columns, whatever their names, take no part.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +46,9 @@ COMMON = tuple(
 #: One word, of which an anchor's begins with a mark that no word holds.
 MARK = "\x01"
 COMMON_WORD = rf"(?<=\x20)(?=(?:{'|'.join(COMMON)})\x20)"
+#: An anchor's chain. It looks ahead over the anchors that follow, so it is used where no run is long; else whole runs are taken.
+CHAIN = rf"\G[^{MARK}]*+{MARK}([^\x20]++)(?=(?:\x20{MARK}[^\x20]++)*+\x20([^{MARK}\x20]++)(?:\x20{MARK}[^\x20]++)*+\x20([^{MARK}\x20]++))"
+LONG = rf"(?:{MARK}[^\x20]++\x20){{32}}"
 RUN = rf"\G[^{MARK}]*+((?:{MARK}[^\x20]++\x20)++)([^{MARK}\x20]++)(?=(?:\x20{MARK}[^\x20]++)*+\x20([^{MARK}\x20]++))"
 
 
@@ -66,10 +67,16 @@ def signatures(text: Column) -> Column:
 
         return F.element_at(F.transform(F.array(F.split(run, "  ")), joined), 1)  # splits once, not for each anchor
 
+    def chains_in(marked: Column) -> Column:
+        def lines(pattern: str) -> Column:
+            every = F.split(F.regexp_replace(marked, pattern, "$1 $2 $3\n"), "\n")
+            return F.slice(every, 1, F.size(every) - 1)
+
+        return F.when(F.rlike(marked, F.lit(LONG)), F.flatten(F.transform(lines(RUN), chains_of))).otherwise(lines(CHAIN))
+
     def of(words: Column) -> Column:
         """words: each with a blank before and one after the last; only a blank if there is none."""
-        runs = F.split(F.regexp_replace(F.regexp_replace(words, COMMON_WORD, MARK), RUN, "$1 $2 $3\n"), "\n")
-        chains = F.flatten(F.transform(F.slice(runs, 1, F.size(runs) - 1), chains_of))
+        chains = F.element_at(F.transform(F.array(F.regexp_replace(words, COMMON_WORD, MARK)), chains_in), 1)
         found = F.array_sort(F.array_distinct(F.transform(chains, hashed)))
         return F.when((F.size(found) == 0) & (F.length(words) > 1), F.array(hashed(F.trim(words)))).otherwise(found)
 
@@ -105,15 +112,16 @@ def with_next(docs: DataFrame, id_col: str, carried: tuple[str, ...], made: dict
     ends = sorted(set(known.agg(within.alias("p")).first()["p"] or []))
     groups = [ends[k : k + FANOUT] for k in range(0, len(ends), FANOUT)] or [[0]]
 
-    def constant(value: list, kind: str) -> Column:
-        return F.from_json(F.lit(json.dumps(value)), kind)
+    def constant(value: list) -> str:
+        """SQL of nested arrays of numbers, which the optimiser folds into one constant."""
+        return "array(" + ", ".join(constant(x) if isinstance(x, list) else f"{int(x)}L" for x in value) + ")"
 
     def passed(ends: Column) -> Column:
         """How many of these ends are not above the id."""
         return F.size(F.filter(ends, lambda e: e <= F.col(id_col).cast("long")))
 
-    group = passed(constant([g[0] for g in groups], "array<bigint>"))
-    inside = passed(F.element_at(constant(groups, "array<array<bigint>>"), F.greatest(group, F.lit(1))))
+    group = passed(F.expr(constant([g[0] for g in groups])))
+    inside = passed(F.element_at(F.expr(constant(groups)), F.greatest(group, F.lit(1))))
     block = (group * (FANOUT + 1) + inside).cast("long")
     order = Window.orderBy("_block")
     everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
