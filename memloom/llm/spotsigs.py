@@ -14,6 +14,7 @@ words of it, one marks the common ones, and one takes each run of anchors with
 the content word after it, looking ahead over the next run for the second. A
 match begins where the last one ended, so a run is read twice at most, and the time is
 linear, however long the runs are. All anchors of a run have the same two content words.
+Texts without a run of 32 anchors take each anchor's chain on its own, which looks ahead over fewer than 32.
 
 Defined cases. A null text is empty. A text without any signature but with words
 has one signature, of all its words; a text without words has the empty
