@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from memloom.operators import resolution as rs
 from memloom.operators import scores as sc
+from memloom.operators.nearest import neighbours
 from memloom.operators.upkeep import banded
+from memloom.sources.shared import cut
 
 # The scores of each kind of evidence, the least context that confirms a prefix, and the cut for names of few bits.
 EXACT, ALIAS, ACRONYM, PREFIX_CONFIRMED, PREFIX = 1.0, 1.0, 0.97, 0.92, 0.88
@@ -97,6 +99,27 @@ def cascaded(mentions: DataFrame, entities: DataFrame, thresholds: DataFrame, au
     return scored.select("mention", F.when(kept, -F.col("best.e")).alias("entity"), F.round("score", 6).alias("score"), F.when(kept, F.col("best.match")).alias("match"), "action")
 
 
+def cascaded_by_vectors(mentions: DataFrame, entities: DataFrame, k: int, auto: float = rs.AUTO, review: float = rs.REVIEW) -> DataFrame:
+    """mention, entity, score, match and action from equal keys and each mention's k nearest entities by vector.
+
+    Both have id, type, name, key and v (null where it is not known); ids of mentions and
+    entities differ. Equal keys decide alone, in one row for each mention. Only what is left meets its neighbours, so
+    candidates grow with the mentions. The least entity of equal scores is taken.
+    """
+    known = entities.filter("key <> ''").groupBy("type", "key").agg(F.min("id").alias("entity"))
+    equal = mentions.filter("key <> ''").join(known, ["type", "key"]).select(F.col("id").alias("mention"), "entity", F.lit(EXACT).alias("score"), F.lit("exact").alias("match"))
+    rest = cut(mentions.join(known, ["type", "key"], "left_anti").select("id", "type", "name", "key", "v"))
+    near = neighbours(rest, entities, k, exact=True).select("id", F.col("other").alias("entity"), F.col("score").alias("vector"))
+    other = entities.select(F.col("id").alias("entity"), F.col("name").alias("name_b"), F.col("key").alias("b"))
+    pairs = near.join(rest.select("id", "type", F.col("name").alias("name_a"), F.col("key").alias("a")), "id").join(other, "entity")
+    best = judged(pairs, review).groupBy("id").agg(F.max(F.struct("score", (-F.col("entity")).alias("e"), "match")).alias("r"))
+    found = equal.unionByName(best.select(F.col("id").alias("mention"), (-F.col("r.e")).alias("entity"), "r.score", "r.match"))
+    scored = mentions.select(F.col("id").alias("mention")).join(found, "mention", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    action = F.when(F.col("score") >= auto, "merged").when(F.col("score") >= review, "review").otherwise("created")
+    kept = F.col("score") >= review
+    return scored.select("mention", F.when(kept, F.col("entity")).alias("entity"), F.round("score", 6).alias("score"), F.when(kept, F.col("match")).alias("match"), action.alias("action"))
+
+
 def fuzzy_matches(pairs: DataFrame, scorer: str = "token_sort_ratio", threshold: float = rs.REVIEW) -> DataFrame:
     """Of each mention the entity of the best score of names (name, other), whatever their case, at the threshold at least; the least one of equals."""
 

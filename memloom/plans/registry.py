@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.plans import cascade, dedup, extraction, graph, longterm, mentions, merging, mining, provenance, reasoning, resolution, shortterm, streams, upkeep, vectors
+from memloom.plans import cascade, dedup, extraction, graph, longterm, mentions, merging, mining, nearest, provenance, reasoning, resolution, shortterm, streams, upkeep, vectors
 
-_MODULES = (shortterm, longterm, provenance, reasoning, vectors, graph, resolution, cascade, extraction, mining, mentions, merging, dedup, upkeep, streams)
+_MODULES = (shortterm, longterm, provenance, reasoning, vectors, graph, resolution, cascade, extraction, mining, mentions, merging, dedup, nearest, upkeep, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
