@@ -17,12 +17,6 @@ from memloom.sources.shared import cut
 # The scores of each kind of evidence, the least context that confirms a prefix, and the cut for names of few bits.
 EXACT, ALIAS, ACRONYM, PREFIX_CONFIRMED, PREFIX = 1.0, 1.0, 0.97, 0.92, 0.88
 CONFIRMS, FEW_BITS, FEW_BITS_CUT = 0.60, 2.5, 0.25
-#: An acronym as it is written: three to six capitals, dots left aside.
-CAPITALS = r"^\p{Lu}{3,6}$"
-
-
-def _spaced(c: Column) -> Column:
-    return F.concat(F.lit(" "), c, F.lit(" "))
 
 
 def _either(f, a: Column, b: Column) -> Column:
@@ -56,14 +50,8 @@ def judged(pairs: DataFrame, review: float = rs.REVIEW) -> DataFrame:
         vector = F.when(F.col("vector").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("vector"))))
     df = pairs.withColumns({"_fuzzy": sc.score("fuzzy", F.when(a != b, a), b), "_context": own_context(text["context_a"], text["context_b"]), "_vector": vector})
 
-    def stands_for(name: Column, short: Column, long: Column) -> Column:
-        written = F.rlike(F.replace(F.trim(name), F.lit(".")), F.lit(CAPITALS))
-        return F.coalesce(written & (F.size(F.split(long, " ")) > 1) & (F.upper(F.replace(short, F.lit(" "))) == rs.initials(long)), F.lit(False))
-
     differ = (a != b) & (a != "") & (b != "")
-    acronym = F.upper("type").isin(*rs.ORGANISATIONS) & (stands_for(text["name_a"], a, b) | stands_for(text["name_b"], b, a))
-    prefix = differ & _either(lambda x, y: F.startswith(_spaced(x), _spaced(y)), a, b)
-    inside = differ & _either(lambda x, y: F.contains(_spaced(x), _spaced(y)), a, b)
+    prefix, inside, acronym = (differ & x for x in rs.name_relations(F.col("type"), text["name_a"], a, text["name_b"], b))
     base = F.coalesce(rs.blended(F.col("_fuzzy"), F.col("_vector"), F.col("_context")), F.lit(0.0))
     bits = F.least(rs.entropy(a), rs.entropy(b))
     held = F.when(bits < FEW_BITS, F.greatest(F.lit(0.0), base - FEW_BITS_CUT)).otherwise(base)

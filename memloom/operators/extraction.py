@@ -44,13 +44,13 @@ SHORTEST, AGREED = 2, 1.1
 
 
 def normalized(name: Column) -> Column:
-    return F.lower(F.regexp_replace(name, r"^\s+|\s+$", ""))
+    return F.lower(F.regexp_replace(name, r"(?U)^\s+|\s+$", ""))
 
 
 def valid_name(name: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """Whether a name is neither short, a stop word, a number nor punctuation; null is not valid."""
     key = normalized(name)
-    bad = (F.char_length(key) < SHORTEST) | key.isin(*stop_words) | key.rlike(r"^[\d\s.,%-]+$") | key.rlike(r"^[^\p{L}\p{N}_]+$")
+    bad = (F.char_length(key) < SHORTEST) | key.isin(*stop_words) | key.rlike(r"(?U)^[\d\s.,%-]+$") | key.rlike(r"^[^\p{L}\p{N}_]+$")
     return F.coalesce(~bad, F.lit(False))
 
 

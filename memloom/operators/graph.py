@@ -50,6 +50,61 @@ def shortest_path(edges: DataFrame, source: int, target: int, most: int = 5) ->
     return front.limit(0).select("path", F.lit(0).alias("length"))
 
 
+def _of_types(edges: DataFrame, types: list[str] | None) -> DataFrame:
+    """The edges of the types whose ends are both known."""
+    whole = edges.filter("src is not null and dst is not null")
+    return whole if types is None else whole.filter(F.col("type").isin(*types))
+
+
+def edges_around(edges: DataFrame, starts: DataFrame, hops: int, types: list[str] | None = None) -> DataFrame:
+    """(start, src, dst, type): every edge on a path of 1..hops steps from a start (column id) over edges of the given types, whatever its direction.
+
+    No path is walked for it: an edge lies on such a path exactly if one of its ends
+    is less than `hops` steps away, so the work grows with nodes and edges and not with paths.
+    """
+    own = _of_types(edges, types).select("src", "dst", "type").distinct()
+    hops = max(1, min(hops, MOST_HOPS))
+    near = starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct()
+    if hops > 1:
+        near = cut(near.unionAll(reach(own, starts, hops - 1).select("start", "node")).distinct())
+    out = [near.join(own, F.col("node") == F.col(end)).select("start", "src", "dst", "type") for end in ("src", "dst")]
+    return out[0].unionAll(out[1]).distinct()
+
+
+def paths(edges: DataFrame, starts: DataFrame, hops: int, types: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """(start, nodes, types, hops): every path of 1..hops steps that uses no edge twice, in either direction, from each start (column id).
+
+    edges has seq, the number of an edge; equal edges of different numbers are different. With a
+    limit the first paths over all starts are returned, by (hops, start, nodes, edge numbers): then no level
+    holds more than `limit` paths, as walking ends once there are that many. Without one the result is
+    as large as the graph makes it. A start without edges has no path; a null end leads nowhere.
+    """
+    own = _of_types(edges, types)
+    there = own.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("type").alias("t"), "seq")
+    back = own.filter("src <> dst").select(F.col("dst").alias("a"), F.col("src").alias("b"), F.col("type").alias("t"), "seq")
+    links = there.unionAll(back)
+    node = F.col("id").cast(dict(links.dtypes)["a"])
+    front = starts.select(node.alias("start"), F.array(node).alias("nodes"), F.array().cast("array<string>").alias("types"), F.array().cast("array<long>").alias("used")).distinct()
+    levels: list[DataFrame] = []
+    found = 0
+    for n in range(1, max(1, min(hops, MOST_HOPS)) + 1):
+        step = front.join(links, (F.element_at("nodes", -1) == F.col("a")) & ~F.array_contains("used", F.col("seq")))
+        grown = [F.array_append("nodes", F.col("b")).alias("nodes"), F.array_append("types", F.col("t")).alias("types"), F.array_append("used", F.col("seq")).alias("used")]
+        front = step.select("start", *grown)
+        if limit is not None:
+            front = front.orderBy("start", "nodes", "used").limit(limit - found)
+        front = cut(front)
+        levels.append(front.select("start", "nodes", "types", F.lit(n).alias("hops")))
+        if limit is not None:
+            found += front.count()  # at most limit rows
+            if found >= limit:
+                break
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionAll(level)
+    return out
+
+
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """(node, rank) after `rounds` rounds; ranks add up to 1, and nodes without outgoing edges share theirs with all."""
     links = edges.select("src", "dst").distinct()

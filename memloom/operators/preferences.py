@@ -33,6 +33,8 @@ CATEGORIES = {
     "communication": ("email", "message", "chat", "call", "meeting", "slack", "verbose", "concise", "brief", "detailed", "formal", "casual", "tone", "style"),
     "work": ("work", "job", "career", "office", "remote", "meeting", "schedule", "deadline", "project", "team", "manager"),
 }
+#: Letters of all scripts make words, in either case.
+FLAGS = "(?isU)"
 #: Shorter sentences state nothing, nor do subjects of up to two letters; longer subjects are cut at a blank.
 LEAST, LONG = 10, 200
 
@@ -53,16 +55,16 @@ def subject(found: Column) -> Column:
         return F.regexp_replace(c, r"[.,!?;:]+$", "")
 
     def trimmed(c: Column) -> Column:
-        return F.regexp_replace(c, r"^\s+|\s+$", "")
+        return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
-    own = bare(trimmed(F.split(bare(trimmed(found)), f"(?s){CLAUSES}.*$", 2)[0]))
+    own = bare(trimmed(F.split(bare(trimmed(found)), f"(?sU){CLAUSES}.*$", 2)[0]))
     return F.when(F.char_length(own) > LONG, F.regexp_replace(F.substring(own, 1, LONG), r" [^ ]*$", "")).otherwise(own)
 
 
 def sentences(messages: DataFrame, text: str = "content") -> DataFrame:
     """id, place and sentence: texts cut at line ends and at blanks after a stop, blank ones left out."""
-    parts = F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), "\n")
-    each = messages.select("id", F.posexplode(F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))).alias("place", "sentence"))
+    parts = F.split(F.regexp_replace(text, r"(?U)([.!?])\s+", "$1\n"), "\n")
+    each = messages.select("id", F.posexplode(F.transform(parts, lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", ""))).alias("place", "sentence"))
     return each.filter("sentence <> ''")
 
 
@@ -73,7 +75,7 @@ def preferences(messages: DataFrame) -> DataFrame:
     """
     s = F.col("sentence")
     found = [
-        F.when(F.rlike(s, F.lit(f"(?is){p}")), F.struct(F.lit(kind).alias("sentiment"), F.lit(c).alias("confidence"), F.regexp_extract(s, f"(?is){p}", 1).alias("raw")))
+        F.when(F.rlike(s, F.lit(f"{FLAGS}{p}")), F.struct(F.lit(kind).alias("sentiment"), F.lit(c).alias("confidence"), F.regexp_extract(s, f"{FLAGS}{p}", 1).alias("raw")))
         for kind, patterns in (("positive", POSITIVE), ("negative", NEGATIVE))
         for p, c in patterns
     ]

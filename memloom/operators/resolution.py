@@ -26,6 +26,10 @@ def tokens(name: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}&]+", " "), " "), lambda w: w != "")
 
 
+#: An acronym as it is written.
+CAPITALS = r"^\p{Lu}{3,6}$"
+
+
 def name_key(name: Column, kind: Column) -> Column:
     """A name's words without leading determiners and, by its type, trailing legal forms, or leading titles and trailing suffixes.
 
@@ -154,6 +158,28 @@ def gazetteer(aliases: DataFrame) -> DataFrame:
     return aliases.groupBy("key").agg(F.min("canonical").alias("canonical"), F.count_distinct("canonical").alias("n")).filter("n = 1").drop("n")
 
 
+def name_relations(kind: Column, name_a: Column, a: Column, name_b: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Whether one of two different keys begins the other by whole words, stands in it as a run of words, or is its acronym; never null.
+
+    An acronym is written in three to six capitals, dots left aside, is an organisation's and has the
+    initials of a key of several words. Names that are not known are no acronyms. All three hold in either direction.
+    """
+
+    def spaced(c: Column) -> Column:
+        return F.concat(F.lit(" "), c, F.lit(" "))
+
+    def stands_for(name: Column, short: Column, long: Column) -> Column:
+        written = F.rlike(F.replace(F.trim(name), F.lit(".")), F.lit(CAPITALS))
+        return written & (F.size(F.split(long, " ")) > 1) & (F.upper(F.replace(short, F.lit(" "))) == initials(long))
+
+    differ, never = (a != b) & (a != "") & (b != ""), F.lit(False)
+    prefix = differ & (F.startswith(spaced(a), spaced(b)) | F.startswith(spaced(b), spaced(a)))
+    inside = differ & (F.contains(spaced(a), spaced(b)) | F.contains(spaced(b), spaced(a)))
+    whose = F.upper(kind).isin(*ORGANISATIONS)
+    acronym = whose & (F.coalesce(stands_for(name_a, a, b), never) | F.coalesce(stands_for(name_b, b, a), never))
+    return F.coalesce(prefix, never), F.coalesce(inside, never), F.coalesce(acronym, never)
+
+
 def b_cubed(labelled: DataFrame) -> DataFrame:
     """One row of precision, recall and f1 for mentions with their predicted and gold clusters.
 

@@ -88,12 +88,3 @@ def exact_resolved(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     known = entities.select("type", plain("name").alias("_k"), "name").groupBy("type", "_k").agg(F.min("name").alias("_canonical"))
     rows = mentions.withColumn("_k", plain("name")).join(known, ["type", "_k"], "left")
     return rows.select(F.col("id").alias("mention"), F.coalesce("_canonical", "name").alias("canonical"))
-
-
-def name_relations(pairs: DataFrame) -> DataFrame:
-    """pairs of keys (a, b) with prefix (a's words begin b), inside (a's words are a run in b) and acronym (a is b's initials)."""
-    a, b = F.concat(F.lit(" "), "a", F.lit(" ")), F.concat(F.lit(" "), "b", F.lit(" "))
-    longer = F.size(F.split("b", " ")) > F.size(F.split("a", " "))
-    first = F.array_join(F.transform(F.split("b", " "), lambda w: F.substring(w, 1, 1)), "")
-    acronym = (F.size(F.split("b", " ")) > 1) & (F.lower("a") == F.lower(first))
-    return pairs.select("*", (longer & F.startswith(b, a)).alias("prefix"), (longer & F.contains(b, a)).alias("inside"), acronym.alias("acronym"))

@@ -27,8 +27,28 @@ def _ranks(rounds: int) -> str:
     return ",\n".join(steps) + f" SELECT node, round(rank, 9) AS rank FROM r{rounds}"
 
 
+def _numbered(s, d):
+    """The edges, numbered by their ends, and those between suppliers and the customers of their number."""
+    e = v.edges(s, d)
+    twin = v.table(s, d, "supplier").select((F.lit(2_000_000) + F.col("s_suppkey")).cast("long").alias("src"), (F.lit(1_000_000) + F.col("s_suppkey")).cast("long").alias("dst"), F.lit("SERVES").alias("type"))
+    return e.unionAll(twin).withColumn("seq", F.col("src") * 10_000_000 + F.col("dst"))
+
+
+def _starts(s):
+    return s.createDataFrame([(START,), (END,), (4_000_001,)], "id long")
+
+
+def _walked(df):
+    return df.select("start", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ",").alias("nodes"), F.array_join("types", ",").alias("types"), "hops")
+
+
 QUERIES = {
     "GA-01_neighbours_3_hops": lambda s, d: g.reach(v.edges(s, d), s.createDataFrame([(START,), (END,)], "id long"), 3),
+    "GA-02_edges_around": lambda s, d: g.edges_around(_numbered(s, d), _starts(s), 3),
+    "GA-02_edges_of_types": lambda s, d: g.edges_around(_numbered(s, d), _starts(s), 2, ["SERVES", "LOCATED_AT"]),
+    "GA-02_paths": lambda s, d: _walked(g.paths(_numbered(s, d), _starts(s), 3)),
+    "GA-02_paths_of_types": lambda s, d: _walked(g.paths(_numbered(s, d), _starts(s), 3, ["SERVES", "HEADQUARTERS_AT"])),
+    "GA-02_first_paths": lambda s, d: _walked(g.paths(_numbered(s, d), _starts(s), 3, limit=50)),
     "GA-03_shortest_path": lambda s, d: g.shortest_path(v.edges(s, d), START, END).select(F.array_join("path", ",").alias("path"), F.col("length").cast("long").alias("length")),
     "GA-04_pagerank": lambda s, d: g.pagerank(v.edges(s, d), 5).select("node", F.round("rank", 9).alias("rank")),
     "GA-05_degree_centrality": lambda s, d: g.degree_centrality(v.edges(s, d)),
@@ -43,7 +63,28 @@ QUERIES = {
     ),
     "GX-06_expand": lambda s, d: g.expand(v.edges(s, d), 3_000_003, s.range(4_000_000, 4_000_009)),
 }
+def _walks(where: str = "true", tail: str = "") -> str:
+    """All paths of three steps without a repeated edge, as a recursion."""
+    return f"""{G.replace("WITH", "WITH RECURSIVE", 1)}, k AS (SELECT src, dst, type, src * 10000000 + dst AS seq FROM
+        (SELECT src, dst, type FROM edge UNION ALL SELECT 2000000 + s_suppkey, 1000000 + s_suppkey, 'SERVES' FROM supplier) WHERE {where}),
+      t AS (SELECT src AS a, dst AS b, type, seq FROM k UNION ALL SELECT dst, src, type, seq FROM k),
+      w AS (SELECT CAST(x AS BIGINT) AS start, [CAST(x AS BIGINT)] AS ns, []::VARCHAR[] AS ts, []::BIGINT[] AS used, 0 AS hops FROM (VALUES ({START}), ({END}), (4000001)) v(x)
+        UNION ALL SELECT start, list_append(ns, b), list_append(ts, type), list_append(used, seq), hops + 1 FROM w JOIN t ON a = ns[-1] WHERE hops < 3 AND NOT list_contains(used, seq))
+      SELECT start, array_to_string(ns, ',') AS nodes, array_to_string(ts, ',') AS types, hops FROM w WHERE hops > 0 {tail}"""
+
+
+def _around(hops: int, where: str = "true") -> str:
+    """The distinct edges that some path of at most `hops` steps uses."""
+    walks = _walks(where)
+    return f"""{walks[: walks.index("SELECT start, array_to_string")]} SELECT DISTINCT start, src, dst, type FROM (SELECT start, unnest(used) AS seq FROM w WHERE hops <= {hops}) JOIN k USING (seq)"""
+
+
 ORACLES = {
+    "GA-02_edges_around": _around(3),
+    "GA-02_edges_of_types": _around(2, "type IN ('SERVES', 'LOCATED_AT')"),
+    "GA-02_paths": _walks(),
+    "GA-02_paths_of_types": _walks("type IN ('SERVES', 'HEADQUARTERS_AT')"),
+    "GA-02_first_paths": _walks(tail="ORDER BY hops, start, ns, used LIMIT 50"),
     "GA-01_neighbours_3_hops": f"""{U.replace("WITH", "WITH RECURSIVE", 1)}, w AS (SELECT x AS start, x AS node, 0 AS hops FROM (VALUES ({START}), ({END})) t(x)
       UNION SELECT start, b, hops + 1 FROM w JOIN l ON a = node WHERE hops < 3)
       SELECT CAST(start AS BIGINT) AS start, CAST(node AS BIGINT) AS node, min(hops) AS hops FROM w GROUP BY start, node HAVING min(hops) > 0""",

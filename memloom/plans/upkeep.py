@@ -68,10 +68,21 @@ def _expected(s, d):
 
 
 def _name_pairs(s, d):
-    p = v.table(s, d, "part").select("p_partkey", F.lower("p_name").alias("b"))
-    w = F.split("b", " ")
-    cut = [F.element_at(w, 1), F.array_join(F.slice(w, 2, 2), " "), F.array_join(F.transform(w, lambda x: F.substring(x, 1, 1)), ""), F.col("b")]
-    return p.select("p_partkey", F.explode(F.array(*cut)).alias("a"), "b")
+    """Each part's name with parts of it and its initials, in either order; odd parts are persons, even ones organisations."""
+    kind = F.when(F.col("p_partkey") % 2 == 0, "ORGANIZATION").otherwise("PERSON")
+    more = F.concat("p_name", F.lit(" "), F.lower("p_brand"), F.lit(" house"))
+    p = v.table(s, d, "part").select("p_partkey", kind.alias("type"), F.regexp_replace(F.lower(more), "#", " ").alias("long"))
+    w = F.split("long", " ")
+    first = F.array_join(F.transform(w, lambda x: F.upper(F.substring(x, 1, 1))), "")
+    short = F.array(F.element_at(w, 1), F.array_join(F.slice(w, 2, 2), " "), F.regexp_replace(first, "[0-9]", ""), first, F.substring(first, 1, 2), F.lower(first), F.col("long"))
+    rows = p.select("p_partkey", "type", "long", F.explode(short).alias("short"))
+    turned = F.col("p_partkey") % 3 == 0
+    return rows.select("p_partkey", "type", F.when(turned, F.col("long")).otherwise(F.col("short")).alias("name_a"), F.when(turned, F.col("short")).otherwise(F.col("long")).alias("name_b"))
+
+
+def _name_relations(s, d):
+    named = rs.name_relations(F.col("type"), F.col("name_a"), F.lower("name_a"), F.col("name_b"), F.lower("name_b"))
+    return _name_pairs(s, d).select("*", *[c.alias(n) for c, n in zip(named, ("prefix", "inside", "acronym"), strict=True)])
 
 
 def _linked(s, d):
@@ -98,7 +109,7 @@ QUERIES = {
     "ON-07_migrated": lambda s, d: up.migrated(v.entity_observations(s, d).select("seq", "type", "subtype"), s.createDataFrame(MOVES, "old_type string, new_type string, new_subtype string"))[0],
     "ON-07_dry_run": lambda s, d: up.migrated(v.entity_observations(s, d).select("seq", "type", "subtype"), s.createDataFrame(MOVES, "old_type string, new_type string, new_subtype string"))[1],
     "EV-01_recall_at_3": lambda s, d: up.recall_at(_expected(s, d), _found(s, d), 3).withColumn("recall", F.round("recall", 6)),
-    "RS-10_name_relations": lambda s, d: up.name_relations(_name_pairs(s, d)),
+    "RS-10_name_relations": _name_relations,
     "RS-12_bands_by_type": lambda s, d: up.banded(v.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("type"), ((F.col("l_partkey") % 101).cast("double") / 100).alias("score")), s.createDataFrame(LIMITS, "type string, auto double, review double"), rs.AUTO, rs.REVIEW),
     "RS-16_exact_resolver": lambda s, d: up.exact_resolved(_mentions(s, d), _products(s, d)),
     "DD-04_same_as_clusters": lambda s, d: graph.reach(_linked(s, d), v.table(s, d, "supplier").select(F.col("s_suppkey").alias("id")), 3),
@@ -124,11 +135,14 @@ ORACLES = {
       count(*) AS n FROM entity_obs WHERE type IN ('PERSON', 'LOCATION') GROUP BY ALL""",
     "EV-01_recall_at_3": """WITH w AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS id FROM lineitem WHERE l_linenumber % 2 = 0)
       SELECT k AS "case", round(avg(CASE WHEN EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = k AND l.l_suppkey = id AND l.l_linenumber <= 3) THEN 1.0 ELSE 0.0 END), 6) AS recall FROM w GROUP BY k""",
-    "RS-10_name_relations": """WITH p AS (SELECT p_partkey, lower(p_name) AS b, string_split(lower(p_name), ' ') AS w FROM part),
-      i AS (SELECT *, array_to_string(list_transform(w, lambda x: x[1]), '') AS first FROM p),
-      e AS (SELECT *, unnest([w[1], array_to_string(w[2:3], ' '), first, b]) AS a FROM i)
-      SELECT p_partkey, a, b, len(w) > len(string_split(a, ' ')) AND w[:len(string_split(a, ' '))] = string_split(a, ' ') AS prefix,
-        len(w) > len(string_split(a, ' ')) AND strpos(' ' || b || ' ', ' ' || a || ' ') > 0 AS inside, len(w) > 1 AND a = first AS acronym FROM e""",
+    "RS-10_name_relations": """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'ORGANIZATION' ELSE 'PERSON' END AS type,
+        replace(lower(p_name || ' ' || p_brand || ' house'), '#', ' ') AS long FROM part),
+      i AS (SELECT *, string_split(long, ' ') AS w, array_to_string(list_transform(string_split(long, ' '), lambda x: upper(x[1])), '') AS first FROM p),
+      e AS (SELECT p_partkey, type, long, first, unnest([w[1], array_to_string(w[2:3], ' '), regexp_replace(first, '[0-9]', '', 'g'), first, first[1:2], lower(first), long]) AS short FROM i),
+      f AS (SELECT *, p_partkey % 3 = 0 AS turned, lower(short) AS k FROM e)
+      SELECT p_partkey, type, CASE WHEN turned THEN long ELSE short END AS name_a, CASE WHEN turned THEN short ELSE long END AS name_b,
+        k <> long AND starts_with(long || ' ', k || ' ') AS prefix, k <> long AND contains(' ' || long || ' ', ' ' || k || ' ') AS inside,
+        type = 'ORGANIZATION' AND regexp_full_match(short, '[A-Z]{3,6}') AND short = first AS acronym FROM f""",
     "RS-12_bands_by_type": """WITH s AS (SELECT l_orderkey, l_linenumber, l_returnflag AS type, (l_partkey % 101)::DOUBLE / 100 AS score FROM lineitem)
       SELECT *, CASE WHEN score >= CASE type WHEN 'A' THEN 0.7::DOUBLE WHEN 'N' THEN 0.95::DOUBLE ELSE 0.9::DOUBLE END THEN 'merged'
         WHEN score >= CASE type WHEN 'N' THEN 0.5::DOUBLE ELSE 0.85::DOUBLE END THEN 'review' ELSE 'created' END AS action FROM s""",
