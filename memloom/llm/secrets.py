@@ -19,8 +19,8 @@ Tokens shorter than SHORTEST hold too few signs for the ratio to decide and are
 
 Samples are a DataFrame of (text, random) and, where known, form and held. The default ones are
 random strings drawn by hashing; identifiers in usual styles, half of them of a word list and half of at most
-SAMPLE_WORDS words of documents, least hash first; codes; and, as ordinary text, all words of
-at most SAMPLE_DOCS documents. Transitions are counted in Spark; the tables have one number for
+SAMPLE_WORDS words of documents, least hash first; codes; and, as ordinary text, all words of up to 64 letters
+of at most SAMPLE_DOCS documents. Transitions are counted in Spark; the tables have one number for
 each pair of signs, whatever the corpus. Texts are searched once, in place, with no shuffle.
 
 Defined cases. A null text is empty and has no spans. A text without long tokens
@@ -150,7 +150,7 @@ def default_samples(spark: SparkSession, docs: DataFrame, id_col: str, text_col:
     lower = drawn("o").select(F.explode(F.array(*codes)).alias("text"))
     few = docs.select(id_col).filter(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_DOCS)
     text = docs.select(id_col, text_col).join(F.broadcast(few.distinct()), id_col)
-    ordinary = text.select(F.explode(F.regexp_extract_all(text_col, F.lit(r"(?<![\p{L}\p{N}+/_=-])[A-Za-z]{3,}+(?![\p{L}\p{N}+/_=-])"), F.lit(0))).alias("text"))
+    ordinary = text.select(F.explode(F.regexp_extract_all(text_col, F.lit(r"(?<![\p{L}\p{N}+/_=-])[A-Za-z]{3,64}+(?![\p{L}\p{N}+/_=-])"), F.lit(0))).alias("text"))
     ordinary = cut(ordinary.groupBy("text").agg(F.count("*").alias("n")))
     known = ordinary.select(F.lower("text").alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(SAMPLE_WORDS)
     lists = {"list": WORDS.split(), "docs": [r["w"] for r in known.collect()]}
@@ -199,9 +199,10 @@ def logs(seen: list[list[float]], blend: float) -> list[float]:
 def train(samples: DataFrame) -> list[list[float]]:
     """For each ordinary form that has samples the log ratio of each first sign's and transition's probabilities, random over ordinary."""
     whole = samples.filter(F.col("text").rlike("^[A-Za-z0-9+/_=-]{2,}$"))
-    pairs = whole.withColumn("k", F.explode(F.sequence(F.lit(0), F.length("text") - 1)))
-    pair = F.when(F.col("k") == 0, F.substring("text", 1, 1)).otherwise(F.expr("substring(text, k, 2)"))
-    rows = pairs.groupBy("form", pair.alias("pair")).agg(F.count("*").alias("n"))
+    signs = whole.select("form", F.split("text", "").alias("c"))
+    ahead = F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c") - 1), lambda x, y: F.concat(x, y))
+    pairs = signs.select("form", F.explode(F.concat(F.slice("c", 1, 1), ahead)).alias("pair"))
+    rows = pairs.groupBy("form", "pair").agg(F.count("*").alias("n"))
     place = {c: k for k, c in enumerate(SIGNS)}
     seen = {f: [[0.3] * SIZE for _ in range(SIZE + 1)] for f in (RANDOM, *ORDINARY)}
     found = set()
