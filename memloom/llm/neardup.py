@@ -151,7 +151,7 @@ def compare(blocks: DataFrame, percent: int, every: bool) -> DataFrame:
     (i = j) its rows are compared with one another. Unless `every`, rows of equal
     c are not compared, nor rows that cannot be linked: Jaccard distance is a
     metric, so d, both rows' distances to k, may differ by the allowed distance
-    at most; and the smaller set must hold `percent` of the larger. Only links
+    at most, where they are known; and the smaller set must hold `percent` of the larger. Only links
     are returned then.
     """
     most = 1 - percent / 100 + 1e-9
@@ -167,7 +167,7 @@ def compare(blocks: DataFrame, percent: int, every: bool) -> DataFrame:
         for x in range(len(rows)) if within else np.flatnonzero(side == 0):
             ys = right[right > x] if within else right
             if not every:
-                ok = (c[ys] != c[x]) & (np.abs(d[ys] - d[x]) <= most)
+                ok = (c[ys] != c[x]) & ~(np.abs(d[ys] - d[x]) > most)  # an unknown distance rules nothing out
                 ys = ys[ok & (100 * np.minimum(size[ys], size[x]) >= percent * np.maximum(size[ys], size[x]))]
             if not len(ys):
                 continue
