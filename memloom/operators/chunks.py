@@ -6,16 +6,18 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A chunk of letters ends at a sentence end among its last NEAR letters; one of words reaches for one among the next NEAR.
 NEAR = 100
 STOP = re.compile(r"[.!?]\s+")
 FIRST_STOP = re.compile(r"[.!?]\s")
 WORD = re.compile(r"\S+")
-CHUNK = "array<struct<place: int, start: long, end: long, text: string>>"
+CHUNK, KINDS = ("place", "start", "end", "text"), (pa.int32(), pa.int64(), pa.int64(), pa.string())
+#: Letters of chunks that a task passes on at once.
+HELD = 1 << 20
 
 
 def char_spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
@@ -45,12 +47,32 @@ def word_spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
 
 
 def _chunked(df: DataFrame, spans: Callable[[str, int, int], Iterator[tuple[int, int]]], size: int, overlap: int, text: str) -> DataFrame:
-    @F.pandas_udf(CHUNK)
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"place": i, "start": a, "end": b, "text": t[a:b]} for i, (a, b) in enumerate(spans(t or "", size, overlap))])
-
     rest = [c for c in df.columns if c != text]
-    return df.select(*rest, F.explode(cut(text)).alias("_chunk")).select(*rest, "_chunk.*")
+    # what is left of a batch is passed on in pieces, so that chunks of many long texts are not held at once
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, rows, found, held = b.column(len(rest)), [], [], 0
+
+            def piece() -> pa.RecordBatch:
+                others = b.select(rest).take(pa.array(rows, pa.int64())).columns
+                cols = [pa.array(x, t) for x, t in zip(zip(*found, strict=True), KINDS, strict=True)]
+                return pa.RecordBatch.from_arrays([*others, *cols], [*rest, *CHUNK])
+
+            for row in range(b.num_rows):
+                whole = texts[row].as_py() or ""
+                for place, (a, z) in enumerate(spans(whole, size, overlap)):
+                    rows.append(row)
+                    found.append((place, a, z, whole[a:z]))
+                    held += z - a
+                    if held >= HELD:
+                        yield piece()
+                        rows, found, held = [], [], 0
+            if rows:
+                yield piece()
+
+    kept = df.select(*rest, text)
+    schema = T.StructType([*kept.schema.fields[:-1], *T._parse_datatype_string("place int, start long, end long, text string").fields])
+    return kept.mapInArrow(cut, schema)
 
 
 def chunks_by_chars(df: DataFrame, size: int = 4000, overlap: int = 200, text: str = "text") -> DataFrame:
