@@ -5,10 +5,12 @@ any case) matches words in a row with white space alone between them. Of
 overlapping matches the leftmost counts, and the longest of those. A form
 that belongs to several entities matches, but names none of them: it links nothing.
 
-Two ways give the same rows. Up to SENT_CHARS of forms, which are summed before, a word
-trie is sent to all tasks, and each text is walked once. Beyond, forms are
+Two ways give the same rows. Of more than SIFTED_CHARS of forms, those go first of
+which a word stands in no text. Up to SENT_CHARS of the others, which are summed
+before, a word trie is sent to all tasks, and each text is walked once. Beyond, forms are
 joined: the words of the texts meet the first words of forms, and what follows
 meets the whole forms; then the leftmost longest are taken among each text's matches.
+Texts are dealt evenly first, as a table may come in one piece.
 """
 
 from __future__ import annotations
@@ -20,9 +22,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.sources.shared import cut
+
 #: Forms of at most so many characters in all are sent to every task.
 SENT_CHARS = 16 << 20
+#: More characters of forms than these are sifted by the words of the texts first.
+SIFTED_CHARS = 1 << 20
+#: Texts whose words are handed on at once.
+TEXTS_AT_ONCE = 500
 WORD = r"[\p{L}\p{N}_#]+"
+#: The same for Python, and white space as the forms have it.
+WORDS, GAP = re.compile(r"[\w#]+"), re.compile(r"[ \t\n\x0b\f\r]+")
 SPAN = "message_id long, start int, end int, form string"
 
 
@@ -39,6 +49,15 @@ def forms(entities: DataFrame) -> DataFrame:
     return plain.select("form", F.size(F.split("form", " ")).alias("n_words"), F.col("id").alias("entity_id"), "type").distinct()
 
 
+def _next_to(text: str, found: list[tuple[int, int, str]], j: int) -> bool:
+    """Whether white space alone is between word j and the one before it."""
+    return j < len(found) and GAP.fullmatch(text, found[j - 1][1], found[j][0]) is not None
+
+
+def _words(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), m[0].lower()) for m in WORDS.finditer(text)]
+
+
 class _Trie:
     """Words of forms as nested tables; the key "" ends a form."""
 
@@ -49,10 +68,9 @@ class _Trie:
             for w in f.split(" "):
                 node = node.setdefault(w, {})
             node[""] = f
-        self.words = re.compile(r"[\w#]+")
 
     def spans(self, text: str) -> Iterator[tuple[int, int, str]]:
-        found = [(m.start(), m.end(), m[0].lower()) for m in self.words.finditer(text)]
+        found = _words(text)
         k = 0
         while k < len(found):
             node, best, j = self.root.get(found[k][2]), None, k
@@ -60,7 +78,7 @@ class _Trie:
                 if "" in node:
                     best = (j, node[""])
                 j += 1
-                if j >= len(found) or not text[found[j - 1][1] : found[j][0]].isspace():
+                if not _next_to(text, found, j):
                     break
                 node = node.get(found[j][2])
             if best is not None:
@@ -69,62 +87,94 @@ class _Trie:
             k += 1
 
 
-def _walked(messages: DataFrame, known: DataFrame) -> DataFrame:
-    sent = messages.sparkSession.sparkContext.broadcast([r["form"] for r in known.select("form").distinct().collect()])  # at most SENT_CHARS
+def _dealt(messages: DataFrame) -> DataFrame:
+    """id and content of the messages with both, in as many even parts as a shuffle has."""
+    parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return messages.filter("id is not null and content <> ''").select("id", "content").repartition(parts)
+
+
+def _sifted(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """The forms whose words all stand in texts, no matter where."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"word": list({w.lower() for text in b["content"] for w in WORDS.findall(text)})}, dtype=object)
+
+    said = texts.select("content").mapInPandas(run, "word string").distinct()
+    parts = F.array_distinct(F.split("form", " "))
+    each = known.select("form", "n_words").distinct().select("form", "n_words", F.size(parts).alias("n"), F.explode(parts).alias("word"))
+    return each.join(said, "word").groupBy("form", "n_words").agg(F.count("*").alias("met"), F.first("n").alias("n")).filter("met = n").select("form", "n_words")
+
+
+def _walked(texts: DataFrame, known: DataFrame) -> DataFrame:
+    sent = texts.sparkSession.sparkContext.broadcast([r["form"] for r in known.select("form").distinct().collect()])  # at most SENT_CHARS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = _Trie(sent.value)
         for b in batches:
-            rows = [(i, *span) for i, text in zip(b["id"], b["content"], strict=True) if text for span in trie.spans(text)]
+            rows = [(i, *span) for i, text in zip(b["id"], b["content"], strict=True) for span in trie.spans(text)]
             yield pd.DataFrame(rows, columns=["message_id", "start", "end", "form"])
 
-    return messages.filter("id is not null").select("id", "content").mapInPandas(run, SPAN)
+    return texts.mapInPandas(run, SPAN)
 
 
-def _joined(messages: DataFrame, known: DataFrame, most: int) -> DataFrame:
+def _joined(texts: DataFrame, known: DataFrame, most: int) -> DataFrame:
     """The same by joins: words with first words, then phrases with forms of at most `most` words, then a fold over each text's matches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for s in range(0, len(b), TEXTS_AT_ONCE):
+                some, rows = b.iloc[s : s + TEXTS_AT_ONCE], []
+                for row, i, text in zip(some["row"], some["id"], some["content"], strict=True):
+                    found = _words(text)
+                    for k in range(len(found)):
+                        upto = k + 1
+                        while upto - k < most and _next_to(text, found, upto):
+                            upto += 1
+                        rows.append((row, i, found[k][0], found[k][2], [w for _, _, w in found[k:upto]], [e for _, e, _ in found[k:upto]]))
+                yield pd.DataFrame(rows, columns=["row", "message_id", "start", "word", "words", "ends"])
+
     starts = known.select(F.split("form", " ")[0].alias("word"), F.col("n_words").alias("n")).distinct()
-    pieces = F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(rf"{WORD}|(?:(?!{WORD})[\s\S])+"), F.lit(0))
-    numbered = messages.filter("id is not null").withColumn("row", F.monotonically_increasing_id())
-    rows = numbered.select("row", F.col("id").alias("message_id"), F.posexplode(pieces).alias("k", "p"))
-    order = Window.partitionBy("row").orderBy("k")
-    at = rows.withColumns({
-        "start": F.coalesce(F.sum(F.length("p")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"),
-        "next": F.collect_list("p").over(order.rowsBetween(Window.currentRow, 2 * most - 2)),  # what a form that begins here may take
-    }).filter(F.rlike("p", F.lit(f"^{WORD}$")))
-    near = at.withColumn("word", F.lower("p")).join(starts, "word").filter(F.size("next") >= 2 * F.col("n") - 1)
-    parts = F.slice("next", F.lit(1), 2 * F.col("n") - 1)
-    phrase = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 0, F.lower(x)).when(F.rlike(x, F.lit(r"^\s+$")), " ").otherwise("\x01")), "")
-    met = near.select("row", "message_id", "start", (F.col("start") + F.length(F.array_join(parts, ""))).alias("end"), phrase.alias("form"))
+    numbered = texts.withColumn("row", F.monotonically_increasing_id())
+    at = numbered.mapInPandas(run, "row long, message_id long, start int, word string, words array<string>, ends array<int>")
+    near = at.join(starts, "word").filter(F.size("ends") >= F.col("n"))
+    met = near.select("row", "message_id", "start", F.get("ends", F.col("n") - 1).alias("end"), F.array_join(F.slice("words", F.lit(1), F.col("n")), " ").alias("form"))
     found = met.join(known.select("form").distinct(), "form", "left_semi")
-    longest = found.groupBy("row", "message_id", "start").agg(F.max(F.struct("end", "form")).alias("x")).select("row", "message_id", "start", "x.end", "x.form")
-    return longest.groupBy("row").applyInPandas(_leftmost, SPAN)  # the matches of one text
+    return found.repartition("row").sortWithinPartitions("row", "start", F.desc("end")).mapInPandas(_leftmost, SPAN)
 
 
-def _leftmost(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of a text's matches, each the longest at its start, those that begin where the last one taken has ended, or later."""
-    kept, upto = [], 0
-    rows = rows.sort_values("start")
-    for i, (start, end) in enumerate(zip(rows["start"], rows["end"], strict=True)):
-        if start >= upto:
-            kept.append(i)
-            upto = end
-    return rows.iloc[kept][["message_id", "start", "end", "form"]]
+def _leftmost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each text's matches in order, the longer first, those that begin where the last one taken has ended, or later."""
+    last, upto = None, 0
+    for b in batches:
+        kept = []
+        for i, (row, start, end) in enumerate(zip(b["row"].tolist(), b["start"].tolist(), b["end"].tolist(), strict=True)):
+            if row != last or start >= upto:
+                kept.append(i)
+                last, upto = row, end
+        yield b.iloc[kept][["message_id", "start", "end", "form"]]
 
 
 def spans(messages: DataFrame, entities: DataFrame, sent_chars: int = SENT_CHARS) -> DataFrame:
     """(message_id, start, end, form) of every surface form in messages (id, content), in code points, end exclusive."""
-    known = forms(entities)
-    size = known.agg(F.sum(F.length("form")).alias("n"), F.max("n_words").alias("most")).first()
-    if (size["n"] or 0) <= sent_chars:
-        return _walked(messages, known)
-    return _joined(messages, known, size["most"])
+
+    def size(known: DataFrame):
+        return known.agg(F.coalesce(F.sum(F.length("form")), F.lit(0)).alias("n"), F.max("n_words").alias("most")).first()
+
+    known, texts = forms(entities), _dealt(messages)
+    whole = size(known)
+    if whole["n"] > min(sent_chars, SIFTED_CHARS):
+        known = cut(_sifted(texts, known))
+        whole = size(known)
+    if whole["n"] <= sent_chars:
+        return _walked(texts, known)
+    return _joined(texts, known, whole["most"])
 
 
 def link(found: DataFrame, entities: DataFrame, confidence: float = 1.0) -> DataFrame:
     """(message_id, entity_id, type, start, end, confidence): the spans whose form belongs to one entity alone."""
-    one = forms(entities).groupBy("form").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id"), F.min("type").alias("type"))
-    return found.join(one.filter("n = 1"), "form").select("message_id", "entity_id", "type", "start", "end", F.lit(confidence).alias("confidence"))
+    one = forms(entities).groupBy("form").agg(F.max("entity_id").alias("last"), F.min("entity_id").alias("entity_id"), F.min("type").alias("type"))
+    return found.join(one.filter("entity_id = last"), "form").select("message_id", "entity_id", "type", "start", "end", F.lit(confidence).alias("confidence"))
 
 
 def mentions(messages: DataFrame, entities: DataFrame, confidence: float = 1.0, sent_chars: int = SENT_CHARS) -> DataFrame:

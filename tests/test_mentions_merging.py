@@ -49,6 +49,22 @@ def test_both_ways_equal_a_walk_by_hand(spark):
     assert mn.spans(messages, entities.limit(0)).count() == 0 and mn.spans(messages.limit(0), entities, 0).count() == 0
 
 
+def test_texts_are_dealt_and_forms_are_sifted(spark, monkeypatch):
+    named = [(i, f"Name#{i} of Place", "X", [f"name#{i}"]) for i in range(200)]
+    texts = [(i, f"of place name#{i}  OF\tplace, name#{i + 1} of\u00a0Place") for i in range(0, 400, 4)]
+    entities, messages = spark.createDataFrame(named, ENTITY), spark.createDataFrame(texts, "id long, content string").coalesce(1)
+    want = sorted((i, *s) for i, t in texts for s in ((9, 9 + t.index(",") - 9, f"name#{i} of place"), (t.index(",") + 2, t.rindex(" "), f"name#{i + 1}")) if int(s[2].split(" ")[0][5:]) < 200)
+    found = mn.spans(messages, entities)
+    assert found.rdd.getNumPartitions() > 1  # a table in one piece is no single task
+    assert sorted(map(tuple, found.collect())) == want
+    monkeypatch.setattr(mn, "SIFTED_CHARS", 10)
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, x: sent.append(x) or broadcast(sc, x))
+    for most in (mn.SENT_CHARS, 0):
+        assert sorted(map(tuple, mn.spans(messages, entities, most).collect())) == want
+    assert len(sent) == 1 and 100 <= len(sent[0]) < 250  # of 400 forms, those whose words are in the texts
+
+
 def test_shared_forms_link_nothing(spark):
     entities = spark.createDataFrame([(1, "Ann Lee", "PERSON", ["Ann"]), (2, "Ann Ray", "PERSON", ["Ann"]), (3, "Rome", "LOCATION", None)], ENTITY)
     messages = spark.createDataFrame([(1, "Ann met ann lee in ROME."), (2, "Ann")], "id long, content string")
