@@ -8,7 +8,8 @@ vocabulary with a word-end suffix has two kinds of last byte, so the table holds
 the pairs before a word's end apart from all others, and fragments that do not
 end a word are encoded by a model without the suffix.
 
-Words repeat, so a bounded table keeps the result of each; it holds results
+Words repeat, so a bounded table keeps the result of each, in lower case and without the
+marks after it, where the vocabulary's splitter is known to take them apart; it holds results
 only, and losing it costs time and nothing else. The vocabulary's JSON (a few MB,
 whatever the corpus) is broadcast; nothing is shuffled.
 
@@ -50,6 +51,9 @@ LIBRARY_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same pattern for lower-case text of letters below U+0250.
 LATIN_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[0-9²³¹¼½¾]|(?:[^\s\w]|_)+"
 
+#: That pattern always cuts between such a letter or digit and one of these marks. U+0130 is none: in lower case it ends in a mark of its own.
+MARKS = r"([A-Za-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}])([,.;:!?)])"
+
 
 def byte_letters() -> list[str]:
     """The letter that byte-level vocabularies write for each byte.
@@ -75,6 +79,7 @@ class ForcedBoundaryEncoder:
             if any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized")) or re.search(r"\s", t["content"]):
                 raise ValueError(f"added token {t['content']!r} is stripped, normalised, a whole word or holds a blank: not supported")
         self.token = {i: t for t, i in [*self.vocab.items(), *self.specials.items()]}
+        self.digits = {i: str(i) for i in self.token}
         letters = byte_letters()
         self.letters = dict(enumerate(letters))
         self.code = code = {c: b for b, c in enumerate(letters)}
@@ -90,10 +95,17 @@ class ForcedBoundaryEncoder:
         self.last = Tokenizer(models.BPE(vocab=self.vocab, merges=merges, end_of_word_suffix=self.suffix or None))
         self.middle = Tokenizer(models.BPE(vocab=self.vocab, merges=merges))
         split = next(p for p in conf["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = re.compile(LATIN_PIECES)
-        self.latin = re.compile("[\x21-\x7e\xa1-\u024f]*" if split["pattern"]["Regex"] == LIBRARY_PIECES else "(?!)")
+        settled = split["pattern"]["Regex"] == LIBRARY_PIECES
+        self.pieces, self.lines = re.compile(LATIN_PIECES), re.compile(LATIN_PIECES + "|\n")
+        self.latin = re.compile("[\x21-\x7e\xa1-\u024f]*" if settled else "(?!)")
+        self.latin_lines = re.compile("[\n\x21-\x7e\xa1-\u024f]*" if settled else "(?!)")
+        self.cuts = settled and not any(re.search(r"\w[,.;:!?)]", t) for t in self.specials)
+        self.lowers = settled and any(n["type"] == "Lowercase" for n in (conf["normalizer"] or {}).get("normalizers", []))
+        self.apart = {ends: ~(self.ending if ends and self.suffix else self.inner).ravel() for ends in (False, True)}
+        self.shown = {b: c for b, c in self.letters.items() if b not in (1, 10)}
         self.full = Tokenizer.from_str(spec)
         self.marks = re.compile("|".join(map(re.escape, self.specials)) or r"(?!)")
+        self.any_case = "|".join(map(re.escape, self.specials)) or "$^"
         self.known: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
 
@@ -127,42 +139,71 @@ class ForcedBoundaryEncoder:
             at = m.end()
         return [c for c in [*out, chunk[at:]] if c]
 
+    def cut_latin(self, chunks: list[str]) -> list[str]:
+        """Each chunk of settled letters in the vocabulary's letters, cut: \\n between words, \\x01 between fragments of a word.
+
+        All chunks are cut at once, as the lines of one text.
+        """
+        flat = self.lines.findall("\n".join(chunks).lower())
+        data = np.frombuffer("\n".join(["" if p == "\n" else p for p in flat]).encode() + b"\n", np.uint8)
+        a, b = data[:-1], data[1:]
+        pair = a.astype(np.uint16) << 8 | b
+        last = np.append(b[1:] == 10, False)
+        cuts = np.where(last, self.apart[True][pair], self.apart[False][pair]) & (a != 10) & (b != 10)
+        text = np.insert(data, np.flatnonzero(cuts) + 1, 1).tobytes().decode("latin-1").translate(self.shown)
+        return text[:-1].split("\n\n")
+
+    def cut_other(self, chunk: str) -> str:
+        """The same of any chunk without special tokens; the empty string if it holds no word."""
+        return "\n".join(["\x01".join([f.decode("latin-1").translate(self.letters) for f in self.fragments(w)]) for w in self.words_of(chunk)])
+
     def results(self, chunks: list[str]) -> dict[str, tuple[int, str, str]]:
         """(number of ids, ids, tokens) of each chunk, both joined by a space."""
-        cut: dict[str, list[tuple[bytes, bool]]] = {}
-        need: dict[bool, dict[bytes, tuple[int, str, str]]] = {True: {}, False: {}}
-        out = {}
-        for c in chunks:
-            if self.marks.search(c) and (parts := self.parts_of(c)) != [c]:
-                found = [(1, str(self.specials[p]), p) if p in self.specials else self.results([p])[p] for p in parts]
-                out[c] = _joined(found)
-                continue
-            if c in self.specials:
-                out[c] = (1, str(self.specials[c]), c)
-                continue
-            cut[c] = parts = []
-            for w in self.words_of(c):
-                frags = self.fragments(w)
-                parts += [(f, False) for f in frags[:-1]]
-                parts.append((frags[-1], True))
-        for parts in cut.values():
-            for f, ends in parts:
-                need[ends][f] = (0, "", "")
+        out = {"": (0, "", "")}
+        cut: dict[str, str] = {}
+        plain, lines = [c for c in chunks if c], "\n".join(chunks)
+        if self.marks.search(lines) or not self.latin_lines.fullmatch(lines):
+            chunks, plain = plain, []
+            for c in chunks:
+                if not self.marks.search(c):
+                    if self.latin.fullmatch(c):
+                        plain.append(c)
+                    else:
+                        cut[c] = self.cut_other(c)
+                elif c in self.specials:
+                    out[c] = (1, str(self.specials[c]), c)
+                else:
+                    out[c] = _joined([(1, str(self.specials[p]), p) if p in self.specials else self.results([p])[p] for p in self.parts_of(c)])
+        cut.update(zip(plain, self.cut_latin(plain), strict=True) if plain else ())
+        need: dict[bool, dict[str, tuple[int, str, str]]] = {True: {}, False: {}}
+        for w in dict.fromkeys("\n".join(cut.values()).split("\n")):
+            *inner, end = w.split("\x01")
+            need[True][end] = out[""]
+            for f in inner:
+                need[False][f] = out[""]
         for ends, model in ((True, self.last), (False, self.middle)):
             every = list(need[ends])
             for k in range(0, len(every), FRAGMENTS_AT_ONCE):
                 frags = every[k : k + FRAGMENTS_AT_ONCE]
-                got = model.encode_batch_fast([f.decode("latin-1").translate(self.letters) for f in frags], add_special_tokens=False)
-                for f, e in zip(frags, got, strict=True):
+                for f, e in zip(frags, model.encode_batch_fast(frags, add_special_tokens=False), strict=True):
                     ids = e.ids
-                    need[ends][f] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-        for c, parts in cut.items():
-            out[c] = need[True][parts[0][0]] if len(parts) == 1 else _joined([need[ends][f] for f, ends in parts])
+                    need[ends][f] = (len(ids), " ".join([self.digits[i] for i in ids]), self.decode(ids))
+        for c, text in cut.items():
+            out[c] = need[True].get(text) or _joined([x for w in text.split("\n") for x in self._of_word(w, need)])
         return out
 
+    def _of_word(self, word: str, need: dict) -> list[tuple[int, str, str]]:
+        *inner, end = word.split("\x01")
+        return [*[need[False][f] for f in inner], need[True][end]]
+
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
         """Per text: number of ids; the ids in decimal, and the decoded text, each joined by one space."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        texts = pc.fill_null(texts, "")
+        if self.lowers and not pc.any(pc.match_substring_regex(texts, self.any_case, ignore_case=True)).as_py():
+            texts = pc.ascii_lower(texts)  # special tokens alone have a case
+        if self.cuts:
+            texts = pc.replace_substring_regex(texts, MARKS, r"\1 \2")
+        split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         chunks, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         kept = [self.known.get(c) or self.older.get(c) for c in chunks]
