@@ -35,21 +35,31 @@ def fold_relations(observations: DataFrame) -> DataFrame:
 
     Confidence is the greatest, support the number of observations, derived only
     if all are; the first MOST_SOURCES messages and MOST_EVIDENCE texts by order
-    of arrival are kept. Distinct values are found before lists are built, so a
-    list is as long as a key has distinct values in one task's share at most.
+    of arrival are kept. Rows are dealt by key once; what follows sorts them where they
+    are, and a list holds no more values than are kept.
     """
     key = ["source", "type", "target"]
-    rows = observations.filter("source <> target")
-    base = rows.groupBy(*key).agg(F.max("confidence").alias("confidence"), F.count("*").alias("support"), F.bool_and("derived").alias("derived"))
 
-    def first(column: str, most: int, name: str) -> DataFrame:
-        once = rows.filter(F.col(column).isNotNull()).groupBy(*key, column).agg(F.min("seq").alias("seq"))
-        place = F.row_number().over(Window.partitionBy(*key).orderBy("seq", column))
-        some = once.withColumn("place", place).filter(F.col("place") <= most)
-        listed = F.array_sort(F.collect_list(F.struct("place", F.col(column).alias("x"))))
-        return some.groupBy(*key).agg(F.transform(listed, lambda s: s["x"]).alias(name))
-
-    return base.join(first("message_id", MOST_SOURCES, "source_message_ids"), key, "left").join(first("evidence", MOST_EVIDENCE, "evidence"), key, "left")
+    def begins(column: str) -> Column:
+        """1 in the row that brings a value of column to its key first, null in others."""
+        first = F.row_number().over(Window.partitionBy(*key, column).orderBy(F.col("seq").asc_nulls_last()))
+        return F.when(F.col(column).isNotNull() & (first == 1), F.lit(1))
+
+    def place(mark: str, column: str) -> Column:
+        upto = Window.partitionBy(*key).orderBy("seq", column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return F.when(F.col(mark).isNotNull(), F.count(mark).over(upto))
+
+    def listed(at: str, column: str, most: int, name: str) -> Column:
+        some = F.array_sort(F.collect_list(F.when(F.col(at) <= most, F.struct(F.col(at).alias("place"), F.col(column).alias("x")))))
+        return F.when(F.size(some) > 0, F.transform(some, lambda s: s["x"])).alias(name)
+
+    rows = observations.filter("source <> target").repartition(*key)
+    rows = rows.withColumns({"_m": begins("message_id"), "_e": begins("evidence")})
+    rows = rows.withColumns({"_m": place("_m", "message_id"), "_e": place("_e", "evidence")})
+    return rows.groupBy(*key).agg(
+        F.max("confidence").alias("confidence"), F.count("*").alias("support"), F.bool_and("derived").alias("derived"),
+        listed("_m", "message_id", MOST_SOURCES, "source_message_ids"), listed("_e", "evidence", MOST_EVIDENCE, "evidence"),
+    )
 
 
 def refold_relations(relations: DataFrame) -> DataFrame:

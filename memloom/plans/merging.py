@@ -9,6 +9,7 @@ from memloom.operators import longterm as lt
 from memloom.operators import merging as mg
 from memloom.operators import provenance as pv
 from memloom.sources import views as v
+from memloom.sources.shared import cut
 
 
 def _merges(s: SparkSession, d: str) -> DataFrame:
@@ -54,6 +55,7 @@ def _after(s: SparkSession, d: str) -> DataFrame:
     merges, known = _merges(s, d), _entities(s, d)
     entities, tables = mg.merge(known, _tables(s, d), merges)
     plain = {name: t.drop("migrated_from") for name, t in tables.items()}
+    plain["RELATED_TO"] = cut(plain["RELATED_TO"])  # read four times below
     _, again = mg.merge(entities, {"RELATED_TO": plain["RELATED_TO"]}, merges)
     changed = again["RELATED_TO"].drop("migrated_from").exceptAll(plain["RELATED_TO"]).agg(F.count("*").alias("n")).select(F.lit("changed by a repeated merge").alias("kind"), "n")
     return mg.dangling(plain, merges).unionAll(changed)
