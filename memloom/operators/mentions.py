@@ -5,8 +5,9 @@ any case) matches words in a row with white space alone between them. Of
 overlapping matches the leftmost counts, and the longest of those. A form
 that belongs to several entities matches, but names none of them: it links nothing.
 
-Two ways give the same rows. Of more than SIFTED_CHARS of forms, those go first of
-which a word stands in no text. Up to SENT_CHARS of the others, which are summed
+Two ways give the same rows. The entities are read once: of their forms those go first of
+which the longest word stands in no text, and of more than SIFTED_CHARS left, those of which
+any word does. Up to SENT_CHARS of the others, which are summed
 before, a word trie is sent to all tasks, and each text is walked once. Beyond, forms are
 joined: the words of the texts meet the first words of forms, and what follows
 meets the whole forms; then the leftmost longest are taken among each text's matches.
@@ -26,7 +27,7 @@ from memloom.sources.shared import cut
 
 #: Forms of at most so many characters in all are sent to every task.
 SENT_CHARS = 16 << 20
-#: More characters of forms than these are sifted by the words of the texts first.
+#: More characters of forms than these are sifted by all of their words.
 SIFTED_CHARS = 1 << 20
 #: Texts whose words are handed on at once.
 TEXTS_AT_ONCE = 500
@@ -38,15 +39,30 @@ SPAN = "message_id long, start int, end int, form string"
 
 def as_form(name: Column) -> Column:
     """A name in lower case, with one blank between its words."""
-    return F.array_join(F.filter(F.split(F.lower(name), r"\s+"), lambda w: w != ""), " ")
+    return F.trim(F.regexp_replace(F.lower(name), r"\s+", " "))
 
 
-def forms(entities: DataFrame) -> DataFrame:
-    """(form, n_words, entity_id, type) of the names and aliases of entities (id, name, type, aliases): distinct, lower case, one blank between words."""
+def _every_form(entities: DataFrame) -> DataFrame:
+    """(form, n_words, entity_id, type) of every name and alias, repeated ones too."""
     every = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
     rows = entities.select("id", "type", F.explode(every).alias("form"))
     plain = rows.withColumn("form", as_form(F.col("form"))).filter(F.rlike("form", F.lit(f"^{WORD}(?: {WORD})*$")))
-    return plain.select("form", F.size(F.split("form", " ")).alias("n_words"), F.col("id").alias("entity_id"), "type").distinct()
+    return plain.select("form", F.size(F.split("form", " ")).alias("n_words"), F.col("id").alias("entity_id"), "type")
+
+
+def forms(entities: DataFrame) -> DataFrame:
+    """(form, n_words, entity_id, type) of the names and aliases of entities (id, name, type, aliases): distinct, lower case, one blank between words."""
+    return _every_form(entities).distinct()
+
+
+def _owned(entities: DataFrame) -> DataFrame:
+    """(form, n_words, type, entity_id, last): each form once a type, with the least and the greatest id that it names."""
+    return _every_form(entities).groupBy("form", "n_words", "type").agg(F.min("entity_id").alias("entity_id"), F.max("entity_id").alias("last"))
+
+
+def _once(owned: DataFrame) -> DataFrame:
+    """The same with each form once, and the least of its types."""
+    return owned.groupBy("form", "n_words").agg(F.min("type").alias("type"), F.min("entity_id").alias("entity_id"), F.max("last").alias("last"))
 
 
 def _next_to(text: str, found: list[tuple[int, int, str]], j: int) -> bool:
@@ -93,21 +109,32 @@ def _dealt(messages: DataFrame) -> DataFrame:
     return messages.filter("id is not null and content <> ''").select("id", "content").repartition(parts)
 
 
-def _sifted(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """The forms whose words all stand in texts, no matter where."""
+def _said(texts: DataFrame) -> DataFrame:
+    """The words that stand in texts, each once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"word": list({w.lower() for text in b["content"] for w in WORDS.findall(text)})}, dtype=object)
 
-    said = texts.select("content").mapInPandas(run, "word string").distinct()
+    return texts.select("content").mapInPandas(run, "word string").distinct()
+
+
+def _met(known: DataFrame, said: DataFrame) -> DataFrame:
+    """The forms of which the longest word is one of said: what most forms have to themselves."""
+    longest = F.array_max(F.transform(F.split("form", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    return known.withColumn("word", F.when(F.col("n_words") == 1, F.col("form")).otherwise(longest)).join(said, "word", "left_semi").drop("word")
+
+
+def _sifted(known: DataFrame, said: DataFrame) -> DataFrame:
+    """The forms whose words are all in said."""
     parts = F.array_distinct(F.split("form", " "))
-    each = known.select("form", "n_words").distinct().select("form", "n_words", F.size(parts).alias("n"), F.explode(parts).alias("word"))
-    return each.join(said, "word").groupBy("form", "n_words").agg(F.count("*").alias("met"), F.first("n").alias("n")).filter("met = n").select("form", "n_words")
+    each = known.select("form", F.size(parts).alias("n"), F.explode(parts).alias("word"))
+    whole = each.join(said, "word").groupBy("form").agg(F.count("*").alias("met"), F.first("n").alias("n")).filter("met = n")
+    return known.join(whole.select("form"), "form", "left_semi")
 
 
 def _walked(texts: DataFrame, known: DataFrame) -> DataFrame:
-    sent = texts.sparkSession.sparkContext.broadcast([r["form"] for r in known.select("form").distinct().collect()])  # at most SENT_CHARS
+    sent = texts.sparkSession.sparkContext.broadcast([r["form"] for r in known.select("form").collect()])  # at most SENT_CHARS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = _Trie(sent.value)
@@ -139,7 +166,7 @@ def _joined(texts: DataFrame, known: DataFrame, most: int) -> DataFrame:
     at = numbered.mapInPandas(run, "row long, message_id long, start int, word string, words array<string>, ends array<int>")
     near = at.join(starts, "word").filter(F.size("ends") >= F.col("n"))
     met = near.select("row", "message_id", "start", F.get("ends", F.col("n") - 1).alias("end"), F.array_join(F.slice("words", F.lit(1), F.col("n")), " ").alias("form"))
-    found = met.join(known.select("form").distinct(), "form", "left_semi")
+    found = met.join(known.select("form"), "form", "left_semi")
     return found.repartition("row").sortWithinPartitions("row", "start", F.desc("end")).mapInPandas(_leftmost, SPAN)
 
 
@@ -155,26 +182,33 @@ def _leftmost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.iloc[kept][["message_id", "start", "end", "form"]]
 
 
+def _size(known: DataFrame):
+    return known.agg(F.coalesce(F.sum(F.length("form")), F.lit(0)).alias("n"), F.max("n_words").alias("most")).first()
+
+
+def _found(messages: DataFrame, entities: DataFrame, sent_chars: int) -> tuple[DataFrame, DataFrame]:
+    """The spans in messages, and the forms (see _once) that were looked for."""
+    texts = _dealt(messages)
+    known = cut(_once(_met(_owned(entities), _said(texts))))
+    whole = _size(known)
+    if whole["n"] > min(sent_chars, SIFTED_CHARS):
+        known = cut(_sifted(known, _said(texts)))
+        whole = _size(known)
+    return _walked(texts, known) if whole["n"] <= sent_chars else _joined(texts, known, whole["most"]), known
+
+
 def spans(messages: DataFrame, entities: DataFrame, sent_chars: int = SENT_CHARS) -> DataFrame:
     """(message_id, start, end, form) of every surface form in messages (id, content), in code points, end exclusive."""
+    return _found(messages, entities, sent_chars)[0]
 
-    def size(known: DataFrame):
-        return known.agg(F.coalesce(F.sum(F.length("form")), F.lit(0)).alias("n"), F.max("n_words").alias("most")).first()
 
-    known, texts = forms(entities), _dealt(messages)
-    whole = size(known)
-    if whole["n"] > min(sent_chars, SIFTED_CHARS):
-        known = cut(_sifted(texts, known))
-        whole = size(known)
-    if whole["n"] <= sent_chars:
-        return _walked(texts, known)
-    return _joined(texts, known, whole["most"])
+def _linked(found: DataFrame, known: DataFrame, confidence: float) -> DataFrame:
+    return found.join(known.filter("entity_id = last"), "form").select("message_id", "entity_id", "type", "start", "end", F.lit(confidence).alias("confidence"))
 
 
 def link(found: DataFrame, entities: DataFrame, confidence: float = 1.0) -> DataFrame:
     """(message_id, entity_id, type, start, end, confidence): the spans whose form belongs to one entity alone."""
-    one = forms(entities).groupBy("form").agg(F.max("entity_id").alias("last"), F.min("entity_id").alias("entity_id"), F.min("type").alias("type"))
-    return found.join(one.filter("entity_id = last"), "form").select("message_id", "entity_id", "type", "start", "end", F.lit(confidence).alias("confidence"))
+    return _linked(found, _once(_owned(entities)), confidence)
 
 
 def mentions(messages: DataFrame, entities: DataFrame, confidence: float = 1.0, sent_chars: int = SENT_CHARS) -> DataFrame:
@@ -182,7 +216,7 @@ def mentions(messages: DataFrame, entities: DataFrame, confidence: float = 1.0,
 
     A null text or id has none. Repeated message rows have rows of their own.
     """
-    return link(spans(messages, entities, sent_chars), entities, confidence)
+    return _linked(*_found(messages, entities, sent_chars), confidence)
 
 
 def explicit(refs: DataFrame, entities: DataFrame) -> DataFrame:

@@ -65,6 +65,26 @@ def test_texts_are_dealt_and_forms_are_sifted(spark, monkeypatch):
     assert len(sent) == 1 and 100 <= len(sent[0]) < 250  # of 400 forms, those whose words are in the texts
 
 
+def test_entities_are_read_once(spark, monkeypatch):
+    named = [(i, f"Name#{i} of Place", "X", ["place", f"NAME#{i}"]) for i in range(200)] + [(900, "Place", "Y", None), (901, " Lone\t\n Place ", "Y", None)]
+    texts = [(i, f"name#{i} of place, lone PLACE") for i in range(0, 400, 4)]
+    rows = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            rows.add(len(b))
+            yield b
+
+    entities = spark.createDataFrame(named, ENTITY).mapInPandas(seen, ENTITY)
+    messages = spark.createDataFrame(texts, "id long, content string")
+    want = sorted([(i, i) for i, _ in texts if i < 200] + [(i, 901) for i, _ in texts])  # the shared form names none
+    for most in (mn.SIFTED_CHARS, 10):
+        monkeypatch.setattr(mn, "SIFTED_CHARS", most)
+        before = rows.value
+        assert sorted((r["message_id"], r["entity_id"]) for r in mn.mentions(messages, entities).collect()) == want
+        assert rows.value - before == len(named)
+
+
 def test_shared_forms_link_nothing(spark):
     entities = spark.createDataFrame([(1, "Ann Lee", "PERSON", ["Ann"]), (2, "Ann Ray", "PERSON", ["Ann"]), (3, "Rome", "LOCATION", None)], ENTITY)
     messages = spark.createDataFrame([(1, "Ann met ann lee in ROME."), (2, "Ann")], "id long, content string")
