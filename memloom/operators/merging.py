@@ -6,6 +6,9 @@ that hold entities, and how rows of one key fold. Rows that the survivor had
 come before moved ones, and those in the order of their source, so a repeated run changes nothing.
 Tables without an edge of a merged entity pass through unchanged; only the
 narrow table of merges is joined to each edge column.
+
+A task holds a partition's rows while it sorts or folds them, so large tables are
+dealt in as many partitions as their rows ask for (see parts_of), whatever the session's number is.
 """
 
 from __future__ import annotations
@@ -18,6 +21,12 @@ from pyspark.sql import functions as F
 from memloom.operators.longterm import MOST_EVIDENCE, MOST_SOURCES
 
 
+#: Rows of a partition of a large table.
+ROWS_A_PART = 1_000_000
+#: Merges of at most so many rows are sent to every task.
+SENT_MERGES = 500_000
+
+
 @dataclass(frozen=True)
 class Kind:
     """An edge table: the entity columns, the other key columns, whether ends may be swapped, and the folded columns.
@@ -47,12 +56,24 @@ CATALOGUE = {
 }
 
 
-def _moved(edges: DataFrame, merges: DataFrame, kind: Kind) -> DataFrame:
+def parts_of(df: DataFrame) -> int | None:
+    """Into how many partitions df is dealt, by its rows; None if they are few enough to leave it to Spark."""
+    n = -(-df.count() // ROWS_A_PART)
+    return max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if n > 4 else None
+
+
+def dealt(df: DataFrame, parts: int | None, *columns: str) -> DataFrame:
+    return df if parts is None else df.repartition(parts, *columns)
+
+
+def _moved(edges: DataFrame, merges: DataFrame, kind: Kind, parts: int | None) -> DataFrame:
     """edges with ends at survivors, loops gone, and _from: null, or the least source that the row came from."""
     out, origins = edges, []
+    sent = parts is None or merges.count() <= SENT_MERGES
     for n, c in enumerate(kind.entities):
         at = merges.select(F.col("source").alias(f"_s{n}"), F.col("target").alias(f"_t{n}"))
-        out = out.join(at, F.col(c) == F.col(f"_s{n}"), "left")
+        # Of many merges a task holds its part, and the edges stream by without a sort.
+        out = (out if sent else dealt(out, parts, c)).join(at if sent else at.hint("shuffle_hash"), F.col(c) == F.col(f"_s{n}"), "left")
         origins.append(F.col(f"_s{n}"))
     out = out.withColumn("_from", F.least(*origins) if len(origins) > 1 else origins[0])
     out = out.withColumns({c: F.coalesce(f"_t{n}", c) for n, c in enumerate(kind.entities)}).select(*edges.columns, "_from")
@@ -64,14 +85,14 @@ def _moved(edges: DataFrame, merges: DataFrame, kind: Kind) -> DataFrame:
     return out
 
 
-def moved_edges(edges: DataFrame, merges: DataFrame, kind: Kind) -> DataFrame:
+def moved_edges(edges: DataFrame, merges: DataFrame, kind: Kind, parts: int | None = None) -> DataFrame:
     """edges with each merged end replaced by its survivor, one row for each key, and migrated_from (null: the survivor's own).
 
-    merges (source, target) must have final targets.
+    merges (source, target) must have final targets. parts: see parts_of; None leaves the dealing to Spark.
     """
     key = [*kind.entities, *kind.others]
     order = Window.partitionBy(*key).orderBy(F.col("_from").asc_nulls_first(), *[c for c in edges.columns if c not in key and not c.startswith("_")])
-    ranked = _moved(edges, merges, kind)
+    ranked = dealt(_moved(edges, merges, kind, parts), parts, *key)
     rest = [c for c in edges.columns if c not in key]
     if not kind.fold:
         first = ranked.withColumn("_place", F.row_number().over(order)).filter("_place = 1")
@@ -105,7 +126,7 @@ def merged_entities(entities: DataFrame, merges: DataFrame) -> DataFrame:
     return out.withColumn("aliases", F.when(F.col("merged_into").isNull(), aliases).otherwise(F.coalesce("aliases", none))).drop("_more")
 
 
-def merge(entities: DataFrame, tables: dict[str, DataFrame], merges: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+def merge(entities: DataFrame, tables: dict[str, DataFrame], merges: DataFrame, parts: int | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(entities, edge tables by kind) after the merges, which must have final targets.
 
     A source that was merged before (entities.merged_into) is left alone, so that a
@@ -118,7 +139,7 @@ def merge(entities: DataFrame, tables: dict[str, DataFrame], merges: DataFrame)
     after = merged_entities(entities, fresh)
     if "_before" in after.columns:
         after = after.withColumn("merged_into", F.coalesce("_before", "merged_into")).drop("_before")
-    return after, {name: moved_edges(t, fresh, CATALOGUE[name]) for name, t in tables.items()}
+    return after, {name: moved_edges(t, fresh, CATALOGUE[name], parts) for name, t in tables.items()}
 
 
 def dangling(tables: dict[str, DataFrame], merges: DataFrame) -> DataFrame:

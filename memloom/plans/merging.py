@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.operators import longterm as lt
@@ -22,18 +22,29 @@ def _entities(s: SparkSession, d: str) -> DataFrame:
     return v.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.array("p_brand").alias("aliases"))
 
 
-def _tables(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    """Edges of every kind from order lines: parts are the entities, orders the messages, suppliers and other parts the neighbours."""
+def _parts(s: SparkSession, d: str) -> int | None:
+    return mg.parts_of(v.table(s, d, "lineitem"))
+
+
+def _tables(s: SparkSession, d: str, parts: int | None) -> dict[str, DataFrame]:
+    """Edges of every kind from order lines: parts are the entities, orders the messages, suppliers and other parts the neighbours.
+
+    Few lines share a key, so large tables are dealt by key before they are folded.
+    """
     line = v.table(s, d, "lineitem")
     part, order, number = F.col("l_partkey"), F.col("l_orderkey"), F.col("l_linenumber")
-    said = line.groupBy(part.alias("entity_id"), order.alias("message_id")).agg(F.max(1 - F.col("l_discount")).alias("confidence"), F.min(number).cast("int").alias("start_pos"))
+
+    def by(rows: DataFrame, **key: Column):
+        return mg.dealt(rows.withColumns(key), parts, *key).groupBy(*key)
+
+    said = by(line, entity_id=part, message_id=order).agg(F.max(1 - F.col("l_discount")).alias("confidence"), F.min(number).cast("int").alias("start_pos"))
     other = F.floor(part / 10) * 10 + number % 5
     return {
         "MENTIONS": said, "EXTRACTED_FROM": said.withColumn("end_pos", F.col("start_pos") + 5),
         "EXTRACTED_BY": line.groupBy(part.alias("entity_id"), F.concat("l_returnflag", "l_linestatus").alias("extractor")).agg(F.max(1 - F.col("l_tax")).alias("confidence")),
-        "APPLIES_TO": line.filter(number == 1).select(order.alias("preference_id"), part.alias("entity_id")).distinct(),
-        "TOUCHED": line.filter(number <= 3).groupBy((order * 10 + number % 2).alias("step_id"), part.alias("entity_id")).agg(F.min("l_shipdate").alias("recorded_at")),
-        "SAME_AS": line.filter(part != other).groupBy(F.least(part, other).alias("a"), F.greatest(part, other).alias("b")).agg(F.max(1 - F.col("l_discount")).alias("confidence")),
+        "APPLIES_TO": mg.dealt(line.filter(number == 1).select(order.alias("preference_id"), part.alias("entity_id")), parts, "preference_id", "entity_id").distinct(),
+        "TOUCHED": by(line.filter(number <= 3), step_id=order * 10 + number % 2, entity_id=part).agg(F.min("l_shipdate").alias("recorded_at")),
+        "SAME_AS": by(line.filter(part != other), a=F.least(part, other), b=F.greatest(part, other)).agg(F.max(1 - F.col("l_discount")).alias("confidence")),
         "RELATED_TO": lt.fold_relations(line.select(
             part.alias("source"), F.col("l_returnflag").alias("type"), (F.floor(part / 10) * 10 + F.col("l_suppkey") % 10).cast("long").alias("target"),
             (1 - F.col("l_discount")).alias("confidence"), (F.col("l_linestatus") == "F").alias("derived"), order.alias("message_id"),
@@ -43,7 +54,11 @@ def _tables(s: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def _kind(name: str):
-    return lambda s, d: mg.moved_edges(_tables(s, d)[name], _merges(s, d), mg.CATALOGUE[name])
+    def run(s: SparkSession, d: str) -> DataFrame:
+        parts = _parts(s, d)
+        return mg.moved_edges(_tables(s, d, parts)[name], _merges(s, d), mg.CATALOGUE[name], parts)
+
+    return run
 
 
 def _related(s: SparkSession, d: str) -> DataFrame:
@@ -52,11 +67,11 @@ def _related(s: SparkSession, d: str) -> DataFrame:
 
 def _after(s: SparkSession, d: str) -> DataFrame:
     """What is left at merged ids, by kind, and the relations that a repeated merge would change."""
-    merges, known = _merges(s, d), _entities(s, d)
-    entities, tables = mg.merge(known, _tables(s, d), merges)
+    merges, known, parts = _merges(s, d), _entities(s, d), _parts(s, d)
+    entities, tables = mg.merge(known, _tables(s, d, parts), merges, parts)
     plain = {name: t.drop("migrated_from") for name, t in tables.items()}
     plain["RELATED_TO"] = cut(plain["RELATED_TO"])  # read four times below
-    _, again = mg.merge(entities, {"RELATED_TO": plain["RELATED_TO"]}, merges)
+    _, again = mg.merge(entities, {"RELATED_TO": plain["RELATED_TO"]}, merges, parts)
     changed = again["RELATED_TO"].drop("migrated_from").exceptAll(plain["RELATED_TO"]).agg(F.count("*").alias("n")).select(F.lit("changed by a repeated merge").alias("kind"), "n")
     return mg.dangling(plain, merges).unionAll(changed)
 

@@ -131,6 +131,18 @@ def test_merge_of_every_kind(spark):
     assert same["RELATED_TO"].drop("migrated_from").exceptAll(plain["RELATED_TO"]).count() == 0
 
 
+@pytest.mark.parametrize("name", ["extracted_from", "applies_to", "touched", "same_as", "related_lists"])
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_partitions_of_merged_edges_follow_their_rows(spark, monkeypatch, name, sent):
+    query = merging_plans.QUERIES[f"DD-05_merged_{name}"]
+    want = sorted(map(str, query(spark, SF).collect()))
+    monkeypatch.setattr(mg, "ROWS_A_PART", 100, raising=False)
+    monkeypatch.setattr(mg, "SENT_MERGES", sent, raising=False)
+    parts = query(spark, SF).rdd.glom().collect()
+    assert sorted(str(r) for p in parts for r in p) == want
+    assert max(map(len, parts)) < 250  # whatever the session's number of partitions is
+
+
 @pytest.mark.parametrize("module", [mention_plans, merging_plans])
 def test_no_query_is_empty(spark, module):
     for name, query in module.QUERIES.items():
