@@ -30,13 +30,13 @@ def fold_entities(observations: DataFrame) -> DataFrame:
     )
 
 
-def fold_relations(observations: DataFrame) -> DataFrame:
+def fold_relations(observations: DataFrame, parts: int | None = None) -> DataFrame:
     """One row for each (source, type, target); self-loops go.
 
     Confidence is the greatest, support the number of observations, derived only
     if all are; the first MOST_SOURCES messages and MOST_EVIDENCE texts by order
     of arrival are kept. Rows are dealt by key once; what follows sorts them where they
-    are, and a list holds no more values than are kept.
+    are, and a list holds no more values than are kept. parts: how many partitions they are dealt in; None leaves it to Spark.
     """
     key = ["source", "type", "target"]
 
@@ -53,7 +53,8 @@ def fold_relations(observations: DataFrame) -> DataFrame:
         some = F.array_sort(F.collect_list(F.when(F.col(at) <= most, F.struct(F.col(at).alias("place"), F.col(column).alias("x")))))
         return F.when(F.size(some) > 0, F.transform(some, lambda s: s["x"])).alias(name)
 
-    rows = observations.filter("source <> target").repartition(*key)
+    rows = observations.filter("source <> target")
+    rows = rows.repartition(*key) if parts is None else rows.repartition(parts, *key)
     rows = rows.withColumns({"_m": begins("message_id"), "_e": begins("evidence")})
     rows = rows.withColumns({"_m": place("_m", "message_id"), "_e": place("_e", "evidence")})
     return rows.groupBy(*key).agg(

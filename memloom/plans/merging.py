@@ -49,7 +49,7 @@ def _tables(s: SparkSession, d: str, parts: int | None) -> dict[str, DataFrame]:
             part.alias("source"), F.col("l_returnflag").alias("type"), (F.floor(part / 10) * 10 + F.col("l_suppkey") % 10).cast("long").alias("target"),
             (1 - F.col("l_discount")).alias("confidence"), (F.col("l_linestatus") == "F").alias("derived"), order.alias("message_id"),
             F.concat("l_linestatus", number).alias("evidence"), (order * 10 + number).alias("seq"),
-        )),
+        ), parts),
     }
 
 
